@@ -110,7 +110,7 @@ def _join_nodes(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, free_bits: int
             continue
         a0, a1, b0, b1, err = (v[~leaf] for v in (a0, a1, b0, b1, err))
         bit = np.uint64(1) << np.uint64(depth - 1)
-        above = ~((bit << np.uint64(1)) - np.uint64(1))
+        above = np.uint64((1 << 64) - (1 << depth))
         am = np.clip(np.searchsorted(keys, (keys[a0] & above) | bit), a0, a1)
         bm = np.clip(np.searchsorted(keys, (keys[b0] & above) | bit), b0, b1)
         same = a0 == b0
