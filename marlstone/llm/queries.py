@@ -27,12 +27,24 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents"), length=50).drop("spans")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _word_bpe(), capacity=2048, end_id=0)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"), order=2, backoff=0.4)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -40,7 +52,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_decontamination, op7_best_fit_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op9_lm_scoring, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
