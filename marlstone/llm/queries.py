@@ -15,6 +15,12 @@ def _word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_index
 
@@ -52,8 +58,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op9_lm_scoring, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op9_lm_scoring, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import quality_rules
+
+    return {"op2_quality_rules": quality_rules.ORACLE}
