@@ -15,6 +15,12 @@ def _word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality
 
@@ -58,7 +64,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op9_lm_scoring, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op9_lm_scoring, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
