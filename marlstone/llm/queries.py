@@ -51,6 +51,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _word_bpe(), capacity=2048, end_id=0)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotraining import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import backoff_scores
 
@@ -64,7 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op9_lm_scoring, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
