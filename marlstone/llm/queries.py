@@ -45,6 +45,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), length=50).drop("spans")
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import fixity_drill
+
+    return fixity_drill(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -70,10 +76,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_files, op4_decontamination, op5_suffix_array_dedup, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_token_files, op4_decontamination, op5_suffix_array_dedup, op6_warc_fixity, op7_best_fit_packing, op8_quality_classifier, op9_lm_scoring, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality_rules
+    from . import quality_rules, warc
 
-    return {"op2_quality_rules": quality_rules.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op6_warc_fixity": warc.ORACLE}

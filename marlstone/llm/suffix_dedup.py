@@ -161,7 +161,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
 
     Null texts are empty. Texts below `length` bytes lose nothing. Rows of the same doc_id do not count as repeats of one
     another; a null doc_id counts as smaller than all others. text_too adds `kept`, what is left as text, without the bytes of
-    a character that was cut. Other columns are not read.
+    a character that was cut, and `text_hash`, xxhash64(text) of texts that lost something. Other columns are not read.
     """
     if not PIECE + 8 <= length <= PIECE + 63:
         raise ValueError("length is 32 to 87 bytes")
@@ -210,6 +210,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
         return pa.table({"m": t.column("m"), "bucket": t.column("bucket"), "bits": pa.array([squeezed(told[e - n : e]) for n, e in zip(count, ends, strict=True)], pa.binary())})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for row in rows_of(batches):
             ids, lengths, blob = unpacked(row)
             a = Anchors(blob, lengths, length)
@@ -234,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
             starts, stops = np.sort(np.concatenate([edge_start, inner])), np.sort(np.concatenate([edge_stop, inner]))
             doc = np.searchsorted(a.doc_start, starts, side="right") - 1
             lo, hi = np.searchsorted(doc, np.arange(len(ids)), side="left"), np.searchsorted(doc, np.arange(len(ids)), side="right")
-            out: dict[str, list] = {c: [] for c in ("n_removed", "n_spans", "kept_sha256", "kept", "spans")}
+            out: dict[str, list] = {c: [] for c in ("n_removed", "n_spans", "kept_sha256", "kept", "spans", "text_hash")}
             for d, (begin, size) in enumerate(zip(a.doc_start.tolist(), lengths.tolist(), strict=True)):
                 own = [(int(s) - begin, int(e) - begin) for s, e in zip(starts[lo[d] : hi[d]], stops[lo[d] : hi[d]], strict=True)]
                 kept, last = [], 0
@@ -247,6 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
                 out["n_spans"].append(len(own))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out["kept"].append(left.decode("utf-8", "ignore") if text_too else None)
+                out["text_hash"].append(xxh64_intdigest(blob[begin : begin + size], 42) - ((1 << 64) if xxh64_intdigest(blob[begin : begin + size], 42) >> 63 else 0) if text_too and own else None)
                 out["spans"].append([{"start": s, "stop": e} for s, e in own])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -257,8 +260,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
                     pa.array(out["kept_sha256"], pa.string()),
                     pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                     pa.array(out["kept"], pa.string()),
+                    pa.array(out["text_hash"], pa.int64()),
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text_hash"],
             )
 
     told = settle(totals(packed, keys_of, bits), "anchor-totals")
@@ -266,6 +270,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
     answers = sent.groupBy("bucket").applyInArrow(compare, "m long, bucket long, bits binary")
     answers = settle(answers.groupBy("m").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "repeats")
     spans = packed.join(told, "m", "left").join(answers, "m", "left").mapInArrow(
-        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept string"
+        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept string, text_hash long"
     )
-    return spans if text_too else spans.drop("kept")
+    return spans if text_too else spans.drop("kept", "text_hash")

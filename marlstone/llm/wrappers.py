@@ -137,6 +137,14 @@ def folded(items: list) -> list:
                 out[-1] = merged(out[-1], last)
                 out[-1][2] = True
                 continue
+            p = len(out[-1][4])
+            if out[-1][0].startswith("(") and len(out) > p and _group(out[-p - 1 : -1]) == out[-1][0]:
+                # What stands before a repeated group and is like it is its first turn.
+                whole = out.pop()
+                whole[4] = [merged(a, b) for a, b in zip(out[-p:], whole[4], strict=True)]
+                whole[1] = whole[1] and any(x[1] for x in out[-p:])
+                out[-p:] = [whole]
+                continue
             done = True
             for p in range(2, PERIOD + 1):
                 tail = out[-p:]
