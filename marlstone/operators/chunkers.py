@@ -35,22 +35,19 @@ def sentences(text: str) -> list[str]:
     return re.split(r"(?<=[.!?])\s+", text)
 
 
-def _filled(parts: list[str], size: int, gap: int) -> Iterator[tuple[bool, str]]:
-    """Parts joined while they fit, with `gap` between them; (False, part) for a part that alone is too long."""
+def _filled(parts: list[str], size: int) -> Iterator[tuple[bool, str]]:
+    """Parts joined by spaces while they fit, each with a space of its own; (False, part) for a part that alone is too long."""
     held: list[str] = []
     n = 0
     for p in parts:
-        if len(p) > size:
-            if held:
-                yield True, " ".join(held)
+        if held and (len(p) > size or n + len(p) + 1 > size):
+            yield True, " ".join(held)
             held, n = [], 0
+        if len(p) > size:
             yield False, p
-        elif held and n + len(p) + gap > size:
-            yield True, " ".join(held)
-            held, n = [p], len(p)
         else:
-            n += len(p) + gap if held else len(p)
             held.append(p)
+            n += len(p) + 1
     if held:
         yield True, " ".join(held)
 
@@ -58,8 +55,8 @@ def _filled(parts: list[str], size: int, gap: int) -> Iterator[tuple[bool, str]]
 def long_text(text: str, size: int) -> list[str]:
     """Pieces of at most `size` characters by sentences, or by words where a sentence is longer; one long word stays whole."""
     out: list[str] = []
-    for fits, part in _filled(sentences(text), size, 1):
-        out += [part] if fits else [w for _, w in _filled(part.split(), size, 1)]
+    for fits, part in _filled(sentences(text), size):
+        out += [part] if fits else [w for _, w in _filled(part.split(), size)]
     return [p for p in out if p]
 
 
@@ -84,7 +81,7 @@ def paragraphs(text: str, size: int, least: int) -> list[tuple[str, int, int]]:
             flush()
             for piece in long_text(p, size):
                 out.append((piece, at, at + len(piece)))
-                at += len(piece) + 1
+                at += len(piece)
         elif n + len(p) + 2 <= size:
             n += len(p) + 2
             held.append(p)
@@ -96,20 +93,26 @@ def paragraphs(text: str, size: int, least: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def sections(text: str, size: int, least: int) -> list[tuple[str, int, int, str, int]] | None:
-    """(text, start, stop, heading, level) of markdown sections of at least `least` characters; None without headings."""
-    marks = list(re.finditer(r"^(#{1,6})\s+(.+)$", text, re.M))
-    if not marks:
-        return None
-    out = []
-    for k, m in enumerate(marks):
-        body = text[m.end() : marks[k + 1].start() if k + 1 < len(marks) else len(text)].strip()
-        if not body:
+def sections(text: str, size: int, least: int) -> list[tuple[str, int, int, str | None, int]]:
+    """(text, start, stop, heading line, level) of markdown sections of at least `least` characters.
+
+    What stands before the first heading, or a text without headings, is a section of level 1 without a heading. A heading
+    directly before another one is left out. A body longer than `size` is cut and its pieces stand apart within the section.
+    """
+    marks = list(re.finditer(r"^#{1,6}\s+.+$", text, re.M))
+    edges = [0, *(m.end() for m in marks)], [*(m.start() for m in marks), len(text)]
+    heads = [None, *(m[0].strip() for m in marks)]
+    out, at = [], 0
+    for k, (head, lo, hi) in enumerate(zip(heads, *edges, strict=True)):
+        body = text[lo:hi].strip()
+        if not body and (head is None or k < len(marks)):
             continue
-        parts = [q for p in re.split(r"\n\s*\n", body) if p.strip() for q in ([p.strip()] if len(p.strip()) <= size else long_text(p.strip(), size))]
-        whole = "\n\n".join([m[0].strip(), *parts])
+        parts = long_text(body, size) if len(body) > size else [body] * bool(body)
+        whole = "\n\n".join([*([head] if head else []), *parts])
         if len(whole) >= least:
-            out.append((whole, m.start(), m.start() + len(whole), m[2].strip(), len(m[1])))
+            level = len(head) - len(head.lstrip("#")) if head else 1
+            out.append((whole, at, at + len(whole), head, level))
+            at += len(whole) + 2
     return out
 
 

@@ -156,7 +156,7 @@ def ts_symbols(source: str) -> list[dict]:
     def function(name: str, kind: str, start: int, after: int, limit: int, parent: str | None, marks: list[str]) -> int:
         par = code.find("(", after)
         close = _closing(code, par, "()")
-        head = re.compile(r"\s*(?::\s*(?P<ret>[^{;=]+(?:\{[^{}]*\}[^{;=]*)?))?\s*(?=\{|;|\n|$)").match(code, close)
+        head = re.compile(r"\s*(?::\s*(?P<ret>[^{;=]+))?\s*(?=\{|;|\n|$)").match(code, close)
         body = code.find("{", head.end() if head else close)
         if body < 0 or code[head.end() if head else close : body].strip():
             return close
