@@ -7,23 +7,25 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import encoded
 
-#: Cached runs after which a worker begins anew; bounds its memory.
-CACHE = 600_000
+#: Cached runs after which those seen once since then are forgotten; bounds a worker's memory.
+CACHE = 500_000
 #: Runs encoded as one text, the end-of-text token between them.
 JOINED = 500
-#: A full stop or comma between a letter or digit and white space: a pre-token of its own.
-_POINT = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n])")
+#: Runs of which the pre-tokens can be counted: ASCII without apostrophes.
+_COUNTED = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _SPACE = bytes(32 if c in b"\t\n\r" else c for c in range(256))
 
 
 class WordTokenizer:
     """Ids of texts by a lower-casing tokenizer whose pre-tokenizer drops white space and keeps letters, digits and the rest apart.
 
-    Texts are cut at spaces, tabs and line ends and before a lone full stop or comma that ends a word, where such a tokenizer
-    cuts them too, so equal runs are encoded once. A text that holds a special token's opening is encoded whole.
+    Texts are cut at spaces, tabs and line ends, where such a tokenizer cuts them too, so equal runs are encoded once. The
+    cutting and the search for equal runs are Arrow's. A text that holds a special token's opening is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,47 +34,100 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = self.tokenizer.token_to_id("<|endoftext|>")
+        #: Which ids end a pre-token.
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {b"": 0}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.start, self.size, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        if self.end is None:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-        else:
-            joined = [b"<|endoftext|>".join(words[k : k + JOINED]).decode() for k in range(0, len(words), JOINED)]
-            every = np.concatenate([np.array([*e.ids, self.end], np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-            between = every == self.end
-            size, flat = np.diff(np.flatnonzero(between), prepend=-1) - 1, every[~between]
+    def trim(self) -> None:
+        """Keep what was seen more than once, or nothing if that is most of it."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > CACHE * 3 // 4:
+            self.forget()
+            return
+        words = list(self.known)
+        known = [words[k] for k in keep.tolist() if k]
+        keep = keep[keep > 0]
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[keep] - (ends - size), size) + np.arange(int(size.sum()))]
+        self.forget()
+        self._add(known, flat, size)
+
+    def _add(self, words: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
         self.flat = np.concatenate([self.flat, flat])
 
+    def _encoded(self, words: list[bytes], between: bytes) -> list[np.ndarray]:
+        joined = [between.join(words[k : k + JOINED]).decode() for k in range(0, len(words), JOINED)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode runs many at a time: those whose pre-tokens can be counted with spaces between them, others with an end token."""
+        easy: list[bytes] = []
+        pieces: list[int] = []
+        hard: list[bytes] = []
+        for w in words:
+            if w.isascii():
+                if b"'" in w:
+                    hard.append(w)
+                else:
+                    easy.append(w)
+                    pieces.append(1 if w.isalpha() else len(_COUNTED.findall(w)))
+            elif w.decode().lower().isalpha():
+                easy.append(w)
+                pieces.append(1)
+            else:
+                hard.append(w)
+        if self.end is None:
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            self._add(words, np.concatenate(got), np.array([len(g) for g in got], np.int64))
+            return
+        sure: list[bytes] = []
+        flat: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for k, ids in enumerate(self._encoded(easy, b" ")):
+            own = easy[k * JOINED : (k + 1) * JOINED]
+            last, want = np.flatnonzero(self.closes[ids]), np.cumsum(pieces[k * JOINED : (k + 1) * JOINED])
+            if len(last) != want[-1]:
+                hard += own  # not as counted
+                continue
+            sure += own
+            flat.append(ids)
+            sizes.append(np.diff(last[want - 1], prepend=-1))
+        if sure:
+            self._add(sure, np.concatenate(flat), np.concatenate(sizes))
+        if hard:
+            every = np.concatenate([np.append(e, np.uint32(self.end)) for e in self._encoded(hard, b"<|endoftext|>")])
+            between = every == self.end
+            self._add(hard, every[~between], np.diff(np.flatnonzero(between), prepend=-1) - 1)
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after the other, and how many each text has; null has none."""
         if any(t and "<|" in t for t in texts):
             parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         if len(self.known) > CACHE:
-            self.forget()
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                own = _POINT.sub(rb" \g<0>", encoded(text).lower()).translate(_SPACE).split(b" ")
-                counts[k] = len(own)
-                words += own
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
+            self.trim()
+        cut = pc.split_pattern(pa.array([encoded(t).lower().translate(_SPACE) for t in texts], pa.large_binary()), " ")
+        runs = cut.values.dictionary_encode()
+        counts = np.diff(cut.offsets.to_numpy())
+        words = runs.dictionary.to_pylist()
+        own = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(own < 0)
         if len(missing):
-            lost = [words[k] for k in missing]
-            self.learn(list(dict.fromkeys(lost)))
-            at[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
+            lost = [words[k] for k in missing.tolist()]
+            self.learn(lost)
+            own[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
+        at = own[runs.indices.to_numpy()]
+        self.seen += np.bincount(at, minlength=len(self.seen))
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
