@@ -29,14 +29,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; five-word shingles.
+    """One document of each group of near duplicates, that with the smallest doc_id; five-word shingles, 0.8 alike or more.
 
     Of repeated doc_ids one row stays. Rows without a doc_id stay.
     """
-    from marlstone.llm.simhash import near_duplicates
+    from marlstone.llm.simhash import similar_groups
 
     ship(spark)
-    found = settle(near_duplicates(docs, shingle=5, distance=3).where("doc_id = component_id OR doc_id IS NULL").select("doc_id"), "kept-ids")
+    found = settle(similar_groups(docs, shingle=5, similarity=0.8).where("doc_id = component_id OR doc_id IS NULL").select("doc_id"), "kept-ids")
     kept = docs.join(found.distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
     twice = not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL")) if twice else kept

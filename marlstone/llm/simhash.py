@@ -8,8 +8,9 @@ together, differing bits add up, and a pair that exceeds the budget goes. A grou
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, encoded, settle
+from .lookup import mix
 
 SEED = 42
 #: Shingles hashed at a time; longer texts are counted in several runs.
@@ -33,11 +35,14 @@ def _counts(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
-    """uint64 fingerprints. A bit is 1 if more than half the shingle hashes have it; no words: 0."""
+def fingerprints_of(texts: list[str | None], shingle: int, parts: int = 1) -> np.ndarray:
+    """uint64 fingerprints, (n,) or (n, parts). A bit is 1 if more than half the shingle hashes have it; no words: 0.
+
+    The first part is of the hashes themselves, each further one of another mixing of them.
+    """
     from xxhash import xxh64_intdigest as digest
 
-    counts, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    counts, totals = np.zeros((parts, len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     found: list[int] = []
     owner: list[tuple[int, int]] = []
 
@@ -45,7 +50,10 @@ def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
         if found:
             who, many = np.array(owner).T
             first = who[0]
-            counts[first : who[-1] + 1] += _counts(np.array(found, np.uint64), np.repeat(who - first, many), int(who[-1] - first + 1))
+            hashes, whose = np.array(found, np.uint64), np.repeat(who - first, many)
+            for k in range(parts):
+                own = mix(hashes + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93)) if k else hashes
+                counts[k, first : who[-1] + 1] += _counts(own, whose, int(who[-1] - first + 1))
             found.clear()
             owner.clear()
 
@@ -65,7 +73,8 @@ def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
                 count()
     count()
     bits = (2 * counts > totals[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    out = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    return out[0] if parts == 1 else out.T.copy()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -221,3 +230,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3) -> Dat
     tied = components(links(nodes, distance))
     named = nodes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Parts of a long signature, and of these the ones that candidates are sought by.
+PARTS, SOUGHT = 4, 2
+#: Where the blocks of a half of a part begin, with their widths; two of a half's blocks make a group's key.
+HALF_BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
+#: Bits that a part may differ in for the pair's whole signatures to be compared.
+PART_BUDGET = 14
+
+
+def _tables() -> list[tuple[int, tuple[tuple[int, int], tuple[int, int]]]]:
+    """(part, two blocks as (first bit, width)) of each grouping."""
+    return [(q, tuple((half + at, width) for at, width in two)) for q in range(SOUGHT) for half in (0, 32) for two in combinations(HALF_BLOCKS, 2)]
+
+
+def _permuted(fp: np.ndarray, blocks: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """fp with the bits of the blocks on top."""
+    top = [b for at, width in blocks for b in range(at, at + width)]
+    out = np.zeros(len(fp), np.uint64)
+    for k, b in enumerate([*top, *(b for b in range(64) if b not in top)]):
+        out |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(63 - k)
+    return out
+
+
+def bit_budget(similarity: float) -> int:
+    """Bits of a long signature that differ, as expected, between texts of this Jaccard similarity of shingles."""
+    return math.ceil(64 * PARTS * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+
+
+def similar_links(nodes: DataFrame, budget: int) -> DataFrame:
+    """Edges (a, b) between rep ids of signatures (rep, f0 to f3) that connect what differs in `budget` bits or fewer.
+
+    Candidates share two blocks of a half of one of the sought parts. Texts at a similarity of 0.8 do so in 97 of 100 cases,
+    at 0.9 in 99.9. In each such group the trie over the part's other bits is joined with itself within PART_BUDGET, and what
+    it finds is compared by whole signatures. As in links(), edges per task are at most its rows.
+    """
+    tables = _tables()
+    names = [f"f{k}" for k in range(PARTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        which, rep = rows.column("t").to_numpy(), rows.column("rep").to_numpy()
+        whole = np.stack([rows.column(n).to_numpy().view(np.uint64) for n in names], axis=1)
+        for k, (part, blocks) in enumerate(tables):
+            mine = np.flatnonzero(which == k)
+            if len(mine) < 2:
+                continue
+            keys, width = _permuted(whole[mine, part], blocks), sum(w for _, w in blocks)
+            order = np.argsort(keys)
+            keys, ids, own = keys[order], rep[mine][order], whole[mine][order]
+            cut = np.flatnonzero(np.diff(keys >> np.uint64(64 - width))) + 1
+            lo, hi = np.r_[0, cut], np.r_[cut, len(keys)]
+            many = hi - lo > 1
+            label = np.arange(len(keys))
+            for i, j in _join_nodes(keys, lo[many], hi[many], 64 - width, PART_BUDGET):
+                near = np.bitwise_count(own[i] ^ own[j]).sum(axis=1) <= budget
+                _rooted(label, i[near], j[near])
+            tied = np.flatnonzero(label != np.arange(len(keys)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], names=["a", "b"])
+
+    def value(part: int, blocks: tuple[tuple[int, int], ...]):
+        (a, wa), (b, wb) = blocks
+        bits = [F.shiftrightunsigned(f"f{part}", at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in ((a, wa), (b, wb))]
+        return F.shiftleft(bits[0], wb).bitwiseOR(bits[1])
+
+    at = [F.struct(F.lit(k).alias("t"), value(*t).alias("value")) for k, t in enumerate(tables)]
+    spread = nodes.select("rep", *names, F.explode(F.array(*at)).alias("x")).select("rep", *names, "x.t", "x.value")
+    return spread.repartition(F.col("t"), F.col("value")).select("t", "rep", *names).mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id, row for row: groups of texts whose word shingles are about `similarity` alike (Jaccard) or more.
+
+    Signatures of 256 bits are compared; their estimate of the similarity is off by 0.03 or so. Null and blank texts are all
+    alike. Rows whose doc_id is null get the component of their signature, null if no other row has an id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                f = fingerprints_of(part.column(1).to_pylist(), shingle, PARTS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, k]) for k in range(PARTS))], names=["doc_id", *(f"f{k}" for k in range(PARTS))])
+
+    names = [f"f{k}" for k in range(PARTS)]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    signed = settle(rows, "signatures")
+    nodes = settle(signed.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "signature-nodes")
+    tied = components(similar_links(nodes, bit_budget(similarity)))
+    named = nodes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return signed.join(named, names, "left").select("doc_id", "component_id")

@@ -1,9 +1,10 @@
+import random
 import re
 
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from marlstone.llm.simhash import _join_nodes, near_duplicates
+from marlstone.llm.simhash import _join_nodes, near_duplicates, similar_groups
 
 from .fixtures import by_id, documents, texts
 
@@ -44,3 +45,22 @@ def test_trie_pairs_equal_brute_force():
     got = sorted((int(i), int(j)) for a, b in _join_nodes(keys, np.array([0]), np.array([len(keys)]), 64, 3, chunk=64) for i, j in zip(a, b, strict=True))
     want = [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if int(keys[i] ^ keys[j]).bit_count() <= 3]
     assert got == want and want
+
+
+def test_similar_groups_find_near_copies(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    docs, pairs = [], []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(250)]
+        docs.append((2 * k, " ".join(base)))
+        copy = list(base)
+        for _ in range([1, 2, 4, 12, 40][k % 5]):
+            copy[rng.randrange(250)] = rng.choice(words)
+        docs.append((2 * k + 1, " ".join(copy)))
+        a, b = ({" ".join(x[j : j + 5]) for j in range(246)} for x in (base, copy))
+        pairs.append(len(a & b) / len(a | b))
+    got = {r.doc_id: r.component_id for r in similar_groups(documents(spark, docs)).collect()}
+    together = [got[2 * k] == got[2 * k + 1] for k in range(60)]
+    assert all(t for t, s in zip(together, pairs, strict=True) if s >= 0.87) and not any(t for t, s in zip(together, pairs, strict=True) if s <= 0.7)
+    assert all(got[i] in (i, i - i % 2) for i in got)
