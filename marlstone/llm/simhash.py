@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3) -> Dat
 
 
 #: Parts of a long signature, and of these the ones that candidates are sought by.
-PARTS, SOUGHT = 4, 2
+PARTS, SOUGHT = 8, 2
 #: Where the blocks of a half of a part begin, with their widths; two of a half's blocks make a group's key.
 HALF_BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
 #: Bits that a part may differ in for the pair's whole signatures to be compared.
@@ -255,12 +255,13 @@ def _permuted(fp: np.ndarray, blocks: tuple[tuple[int, int], ...]) -> np.ndarray
 
 
 def bit_budget(similarity: float) -> int:
-    """Bits of a long signature that differ, as expected, between texts of this Jaccard similarity of shingles."""
-    return math.ceil(64 * PARTS * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+    """Bits of a long signature in which texts of this Jaccard similarity of shingles differ, and a standard deviation more."""
+    p, n = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, 64 * PARTS
+    return math.ceil(n * p + math.sqrt(n * p * (1 - p)))
 
 
 def similar_links(nodes: DataFrame, budget: int) -> DataFrame:
-    """Edges (a, b) between rep ids of signatures (rep, f0 to f3) that connect what differs in `budget` bits or fewer.
+    """Edges (a, b) between rep ids of signatures (rep, f0 and so on) that connect what differs in `budget` bits or fewer.
 
     Candidates share two blocks of a half of one of the sought parts. Texts at a similarity of 0.8 do so in 97 of 100 cases,
     at 0.9 in 99.9. In each such group the trie over the part's other bits is joined with itself within PART_BUDGET, and what
@@ -307,7 +308,8 @@ def similar_links(nodes: DataFrame, budget: int) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id, row for row: groups of texts whose word shingles are about `similarity` alike (Jaccard) or more.
 
-    Signatures of 256 bits are compared; their estimate of the similarity is off by 0.03 or so. Null and blank texts are all
+    Signatures of 512 bits are compared, whose estimate of the similarity has a standard deviation of 0.04: at 0.8 five of six
+    pairs are linked, at 0.85 nearly all, at 0.7 hardly any. Null and blank texts are all
     alike. Rows whose doc_id is null get the component of their signature, null if no other row has an id.
     """
 
