@@ -32,10 +32,10 @@ def blocks_of(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(gather, "block int, ids binary, data binary")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float | None, top: int | None, ordered: bool, size: int = BLOCK, strict: bool = False) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float | None, top: int | None, ordered: bool, size: int = BLOCK, strict: bool = False, count: bool = False) -> DataFrame:
     """i, j, score for i != j (i < j if ordered): cosine at least (or, strict, above) threshold, the best `top` for each i, ties to the smaller j.
 
-    A null threshold keeps all. The result is exact.
+    A null threshold keeps all. The result is exact. With count, a pair of blocks gives each i once, with the number of its j as score.
     """
     blocks = blocks_of(vectors, size).persist()
     every = blocks.select(F.col("block").alias("other"))
@@ -49,6 +49,11 @@ def similar_pairs(vectors: DataFrame, threshold: float | None, top: int | None,
                 keep = (a[:, None] < b[None, :]) if ordered else (a[:, None] != b[None, :])
                 if threshold is not None:
                     keep &= (s > threshold) if strict else (s >= threshold)
+                if count:
+                    many = keep.sum(axis=1)
+                    some = np.flatnonzero(many)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(many[some].astype(np.float64))], names=["i", "j", "score"])
+                    continue
                 i, j = np.nonzero(keep)
                 if top is not None and len(i):
                     order = np.lexsort((b[j], -s[i, j], i))
@@ -70,7 +75,7 @@ def similar_pairs(vectors: DataFrame, threshold: float | None, top: int | None,
 
 def degrees(vectors: DataFrame, threshold: float = 0.5, size: int = BLOCK) -> DataFrame:
     """id, degree: how many others have a cosine above threshold, for every id."""
-    found = similar_pairs(vectors, threshold, None, False, size, strict=True).groupBy("i").agg(F.count("*").alias("degree"))
+    found = similar_pairs(vectors, threshold, None, False, size, strict=True, count=True).groupBy("i").agg(F.sum("score").cast("long").alias("degree"))
     return vectors.select("id").join(found.withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
