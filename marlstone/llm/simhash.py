@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -232,98 +232,167 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3) -> Dat
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Parts of a long signature, and of these the ones that candidates are sought by.
-PARTS, SOUGHT = 8, 2
-#: Where the blocks of a half of a part begin, with their widths; two of a half's blocks make a group's key.
-HALF_BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
-#: Bits that a part may differ in for the pair's whole signatures to be compared.
-PART_BUDGET = 14
+#: Of this share of the documents shingles are counted, to tell common ones; this only orders shingles, results never depend on it.
+COUNTED = 16
+#: Common shingles told to the tasks at most, and pairs that one step of a task makes.
+MOST_COMMON, STEP = 1 << 20, 1 << 20
 
 
-def _tables() -> list[tuple[int, tuple[tuple[int, int], tuple[int, int]]]]:
-    """(part, two blocks as (first bit, width)) of each grouping."""
-    return [(q, tuple((half + at, width) for at, width in two)) for q in range(SOUGHT) for half in (0, 32) for two in combinations(HALF_BLOCKS, 2)]
+def _shingles(text: str | None, shingle: int) -> Iterator[tuple[bytes, ...]]:
+    words = encoded(text).translate(LOWER).split()
+    if len(words) >= shingle:
+        return zip(*(words[k:] for k in range(shingle)), strict=False)
+    return iter([tuple(words)] if words else [])
 
 
-def _permuted(fp: np.ndarray, blocks: tuple[tuple[int, int], ...]) -> np.ndarray:
-    """fp with the bits of the blocks on top."""
-    top = [b for at, width in blocks for b in range(at, at + width)]
-    out = np.zeros(len(fp), np.uint64)
-    for k, b in enumerate([*top, *(b for b in range(64) if b not in top)]):
-        out |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(63 - k)
-    return out
+def _hashed(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes of 60 bits, sorted."""
+    from xxhash import xxh64_intdigest as digest
 
+    return np.unique(np.fromiter((digest(b" ".join(s), SEED) >> 4 for s in _shingles(text, shingle)), np.int64))
 
-def bit_budget(similarity: float) -> int:
-    """Bits of a long signature in which texts of this Jaccard similarity of shingles differ, and a standard deviation more."""
-    p, n = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, 64 * PARTS
-    return math.ceil(n * p + math.sqrt(n * p * (1 - p)))
 
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that many of the counted documents have."""
 
-def similar_links(nodes: DataFrame, budget: int) -> DataFrame:
-    """Edges (a, b) between rep ids of signatures (rep, f0 and so on) that connect what differs in `budget` bits or fewer.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hashed(t, shingle) for t in batch.column(0).to_pylist()]
+            if found:
+                k, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k[n > 1]), pa.array(n[n > 1])], names=["k", "c"])
 
-    Candidates share two blocks of a half of one of the sought parts. Texts at a similarity of 0.8 do so in 97 of 100 cases,
-    at 0.9 in 99.9. In each such group the trie over the part's other bits is joined with itself within PART_BUDGET, and what
-    it finds is compared by whole signatures. As in links(), edges per task are at most its rows.
-    """
-    tables = _tables()
-    names = [f"f{k}" for k in range(PARTS)]
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
+    most = some.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "k").limit(MOST_COMMON)
+    return np.sort(np.array([r.k for r in most.select("k").collect()], np.int64))
+
+
+def _prefix(n: int, similarity: float) -> int:
+    """Of n shingles in the common order, how many first ones any set `similarity` alike must meet."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of `similarity` or more, by the shingles themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for k in range(batch.num_rows):
+                x, y = (set(_shingles(batch.column(c)[k].as_py(), shingle)) for c in (2, 3))
+                both = len(x & y)
+                good.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in (0, 1)], names=["a", "b"])
+
+    x, y = (texts.select(F.col("node").alias(c), F.col("text").alias("text_" + c)) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between nodes of signed that connect all texts `similarity` alike or more, and no others.
+
+    Two sets that much alike share a shingle among the first n - ceil(similarity * n) + 1 of each in any one order, so the nodes
+    that share one of these (rows of `met`) hold every pair. First each node is tried with the node it meets most often as the
+    least of a group, which ties large groups of near copies at one comparison a node; then all pairs that are not tied yet,
+    less those whose first shingles in common are too few for the similarity, are compared.
+    """
+    nodes = signed.where("doc_id IS NOT NULL AND n > 0")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         rows = pa.Table.from_batches(got)
-        which, rep = rows.column("t").to_numpy(), rows.column("rep").to_numpy()
-        whole = np.stack([rows.column(n).to_numpy().view(np.uint64) for n in names], axis=1)
-        for k, (part, blocks) in enumerate(tables):
-            mine = np.flatnonzero(which == k)
-            if len(mine) < 2:
-                continue
-            keys, width = _permuted(whole[mine, part], blocks), sum(w for _, w in blocks)
-            order = np.argsort(keys)
-            keys, ids, own = keys[order], rep[mine][order], whole[mine][order]
-            cut = np.flatnonzero(np.diff(keys >> np.uint64(64 - width))) + 1
-            lo, hi = np.r_[0, cut], np.r_[cut, len(keys)]
-            many = hi - lo > 1
-            label = np.arange(len(keys))
-            for i, j in _join_nodes(keys, lo[many], hi[many], 64 - width, PART_BUDGET):
-                near = np.bitwise_count(own[i] ^ own[j]).sum(axis=1) <= budget
-                _rooted(label, i[near], j[near])
-            tied = np.flatnonzero(label != np.arange(len(keys)))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], names=["a", "b"])
-
-    def value(part: int, blocks: tuple[tuple[int, int], ...]):
-        (a, wa), (b, wb) = blocks
-        bits = [F.shiftrightunsigned(f"f{part}", at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in ((a, wa), (b, wb))]
-        return F.shiftleft(bits[0], wb).bitwiseOR(bits[1])
-
-    at = [F.struct(F.lit(k).alias("t"), value(*t).alias("value")) for k, t in enumerate(tables)]
-    spread = nodes.select("rep", *names, F.explode(F.array(*at)).alias("x")).select("rep", *names, "x.t", "x.value")
-    return spread.repartition(F.col("t"), F.col("value")).select("t", "rep", *names).mapInArrow(run, "a long, b long")
+        k, node = rows.column("k").to_numpy(), rows.column("node").to_numpy()
+        order = np.lexsort((node, k))
+        k, node = k[order], node[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]
+        k, node = k[new], node[new]
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[start, len(k)])
+        many = np.repeat(size, size) > 1
+        lead = np.repeat(node[start], size)
+        for at in range(0, len(k), STEP):
+            s = slice(at, at + STEP)
+            yield pa.RecordBatch.from_arrays([pa.array(v[s][many[s]]) for v in (k, node, lead)], names=["k", "node", "lead"])
+
+    spread = nodes.select("node", F.explode("first").alias("k"))
+    met = settle(spread.repartition("k").mapInArrow(meet, "k long, node long, lead long"), "met", "zstd")
+    known = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last"), F.min("text_hash").alias("text_hash"))
+    sizes = settle(known.join(met.select("node").distinct(), "node", "left_semi"), "met-sizes")
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes, "node").select("node", "text_hash")
+        have = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+        return have.join(want, "text_hash").dropDuplicates(["node"]).select("node", "text")
+
+    most = met.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "lead")).alias("m"))
+    likely = most.join(sizes, "node").where("m.c * 20 >= n").select(F.col("node").alias("a"), F.col("m.lead").alias("b"))
+    tries = settle(likely, "tries")
+    sure = settle(_alike(tries, texts(tries), shingle, similarity), "sure-links")
+    tied = components(sure)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        k, node, n, group = (rows.column(c).to_numpy() for c in ("k", "node", "n", "component"))
+        order = np.lexsort((node, k))
+        k, node, n, group = k[order], node[order], n[order], group[order]
+        after = np.searchsorted(k, k, side="right") - np.arange(len(k)) - 1
+        for at in _runs(after, STEP):
+            many = after[at]
+            i = np.repeat(np.arange(at.start, at.stop), many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            can = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+            if can.any():
+                two, c = np.unique(np.stack([node[i[can]], node[j[can]]], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(c)], names=["a", "b", "c"])
+
+    told = met.join(sizes.select("node", "n"), "node").join(tied, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("component"))
+    shared = told.repartition("k").mapInArrow(pair, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    x, y = (sizes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("last").alias("last_" + c)) for c in "ab")
+    # Of the set whose first shingles end earlier, all that the other one has among them is counted in c; the rest may be shared.
+    least = lambda n: F.ceil(F.col(n) * similarity - 1e-9) - 1
+    most_shared = F.col("c") + F.when(F.col("last_a") <= F.col("last_b"), least("n_a")).otherwise(least("n_b"))
+    likely = shared.join(x, "a").join(y, "b").where(most_shared >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6)
+    rest = settle(likely.select("a", "b"), "rest-pairs")
+    return sure.unionByName(_alike(rest, texts(rest), shingle, similarity))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id, row for row: groups of texts whose word shingles are about `similarity` alike (Jaccard) or more.
+    """doc_id, component_id, row for row: groups of texts tied by links of an exact Jaccard similarity of word shingles of `similarity` or more.
 
-    Signatures of 512 bits are compared, whose estimate of the similarity has a standard deviation of 0.04: at 0.8 five of six
-    pairs are linked, at 0.85 nearly all, at 0.7 hardly any. Null and blank texts are all
-    alike. Rows whose doc_id is null get the component of their signature, null if no other row has an id.
+    Texts of fewer words are one shingle. Null and blank texts are all alike. Rows whose doc_id is null tie no others; they get
+    the component of their set of shingles, null if no other row has an id.
     """
+    from xxhash import xxh64_intdigest as digest
+
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = common.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                f = fingerprints_of(part.column(1).to_pylist(), shingle, PARTS).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, k]) for k in range(PARTS))], names=["doc_id", *(f"f{k}" for k in range(PARTS))])
-
-    names = [f"f{k}" for k in range(PARTS)]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-    signed = settle(rows, "signatures")
-    nodes = settle(signed.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "signature-nodes")
-    tied = components(similar_links(nodes, bit_budget(similarity)))
-    named = nodes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(named, names, "left").select("doc_id", "component_id")
+                sets, nodes, first = [], [], []
+                for text in part.column(1).to_pylist():
+                    own = _hashed(text, shingle)
+                    sets.append(len(own))
+                    nodes.append(digest(own.tobytes(), SEED))
+                    if len(often):
+                        place = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                        own = np.sort(own | ((often[place] == own).astype(np.int64) << 60))
+                    first.append(own[: _prefix(len(own), similarity)])
+                last = [int(f[-1]) if len(f) else 0 for f in first]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.int64()), pa.array(last, pa.int64()), lists], names=["doc_id", "text_hash", "node", "n", "last", "first"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, text_hash long, node long, n long, last long, first array<long>")
+    signed = settle(rows, "shingled", "zstd")
+    tied = components(similar_links(docs, signed, shingle, similarity))
+    named = signed.groupBy("node").agg(F.min("doc_id").alias("rep")).join(tied, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return signed.select("doc_id", "node").join(named.join(lowest, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")

@@ -64,3 +64,32 @@ def test_similar_groups_find_near_copies(spark):
     together = [got[2 * k] == got[2 * k + 1] for k in range(60)]
     assert all(t for t, s in zip(together, pairs, strict=True) if s >= 0.87) and not any(t for t, s in zip(together, pairs, strict=True) if s <= 0.7)
     assert all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_similar_groups_are_exact_components(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(4000)]
+    notice = [rng.choice(words) for _ in range(60)]
+    docs = [(1, "a b c"), (2, "A b  c"), (3, "a b d"), (4, None), (5, " "), (6, "a b c d e f g h"), (7, "a b c d e f g h i"), (8, "a b c d e f g")]
+    for k in range(150):
+        base = [rng.choice(words) for _ in range([9, 14, 40, 120, 400][k % 5])] + (notice if k % 3 == 0 else [])
+        docs.append((100 + 4 * k, " ".join(base)))
+        for c in range(1, 3):
+            copy = list(base)
+            for _ in range(max(1, round(len(base) * rng.uniform(0.01, 0.035)))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            cut = rng.randrange(1 + len(copy) // 5)
+            docs.append((100 + 4 * k + c, " ".join(copy[: len(copy) - cut] if c == 2 else copy)))
+    # 41 and 51 shingles, all but 10 of the longer one in common, and one less: above and below 0.8.
+    run = [f"r{k}" for k in range(54)]
+    docs += [(2000, " ".join(run)), (2001, " ".join(run[:44])), (2002, " ".join(f"s{k}" for k in range(54))), (2003, " ".join(f"s{k}" for k in range(43)))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in ((i, (t or "").lower().split()) for i, t in docs)}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    root = {i: i for i in sets}
+    for (i, j), s in alike.items():
+        if s >= 0.8 and root[i] != root[j]:
+            a, b = sorted((root[i], root[j]))
+            root = {k: a if r == b else r for k, r in root.items()}
+    assert sum(0.8 <= s < 0.85 for s in alike.values()) > 15 and sum(0.7 < s < 0.8 for s in alike.values()) > 15 and (0.8 in alike.values())
+    got = {r.doc_id: r.component_id for r in similar_groups(documents(spark, docs)).collect()}
+    assert got == root
