@@ -51,7 +51,7 @@ class _Grams:
         self.keys, self.inverse, self.total = np.unique(every, return_inverse=True, return_counts=True)
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score (null without words), row for row.
 
     Words are runs of other than ASCII white space, A-Z as a-z. Null and blank texts have no words and the score 0. Rows of the

@@ -66,7 +66,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import backoff_scores
 
-    return backoff_scores(table(spark, sf_dir, "documents"), order=2, backoff=0.4)
+    return backoff_scores(table(spark, sf_dir, "documents"), order=3, backoff=0.4)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

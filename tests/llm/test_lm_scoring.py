@@ -40,3 +40,13 @@ def test_edges(spark):
     assert backoff_scores(documents(spark, [])).count() == 0
     rows = backoff_scores(documents(spark, [(1, "a b"), (1, "a b"), (None, None)])).collect()
     assert sorted((r.n_words, round(r.log_score, 6)) for r in rows) == [(0, 0.0), (2, round(math.log(0.5), 6)), (2, round(math.log(0.5), 6))]
+
+
+def test_query_uses_contexts_of_two_words(spark, tmp_path):
+    from marlstone.llm.queries import op9_lm_scoring
+
+    docs = [(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "a b d y")]
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = by_id(op9_lm_scoring(spark, str(tmp_path))), brute(docs, 3)
+    assert all(got[i].log_score == pytest.approx(s) for i, (_, s) in want.items())
+    assert any(abs(s - brute(docs, 2)[i][1]) > 0.01 for i, (_, s) in want.items())
