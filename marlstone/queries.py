@@ -379,6 +379,12 @@ def batch_texts(spark, d):
     return batching.batch_texts(batching.numbered_batches(rows, 15, "doc_id", ["source"]), ["source", "batch"], "doc_id", "t")
 
 
+@_query("WITH b AS (SELECT source, doc_id, text AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 15 AS batch FROM documents) SELECT source, CAST(batch AS BIGINT) AS batch, string_agg(t, chr(10) || '---' || chr(10) ORDER BY doc_id) AS batch_text, count(*) AS n FROM b GROUP BY source, batch")
+def batch_whole_texts(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("t"))
+    return batching.batch_texts(batching.numbered_batches(rows, 15, "doc_id", ["source"]), ["source", "batch"], "doc_id", "t")
+
+
 @_query("SELECT event_id, CAST(sum(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events")
 def token_budget_window(spark, d):
     usage = table(spark, d, "events").select("event_id", "user_id", "ts", F.floor(F.col("value") * 100).alias("tokens"))
