@@ -166,6 +166,18 @@ def text_chunks(files: DataFrame, size: int = 500, least: int = 100) -> DataFram
     return files.where(F.col("text").rlike(r"\S") & F.col("path").isNotNull()).select("path", "text").mapInArrow(run, PARTS)
 
 
+def long_text_chunks(files: DataFrame, size: int = 500) -> DataFrame:
+    """path, seq, text: the pieces of long_text of each file (path, text); null and blank files give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = long_text(text, size)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["path", "seq", "text"])
+
+    return files.where(F.col("text").rlike(r"\S") & F.col("path").isNotNull()).select("path", "text").mapInArrow(run, "path string, seq int, text string")
+
+
 def chunk_records(parts: DataFrame, domain: str = "generic") -> DataFrame:
     """Chunks of text parts: chunk_id, domain, path, type, text, start, stop, language, depth, line_start, line_end, extra."""
     heading = F.when(F.col("heading").isNotNull(), F.create_map(F.lit("heading"), F.col("heading")))

@@ -433,20 +433,30 @@ def _blocks(spark, d):
     return files(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
+def _named(rows: DataFrame, ext: str) -> DataFrame:
+    """All files, under this extension."""
+    return rows.withColumn("path", F.regexp_replace("path", r"\.[^./]+$", ext))
+
+
 @_query()
 def paragraph_chunks(spark, d):
-    return chunkers.text_chunks(_blocks(spark, d).where(F.endswith("path", F.lit(".txt"))))
+    return chunkers.text_chunks(_named(_blocks(spark, d), ".txt"))
 
 
 @_query()
 def markdown_sections(spark, d):
-    md = files(spark, d).where(F.endswith("path", F.lit(".md"))).withColumn("text", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n\n## Part\n\n"))))
+    md = _named(files(spark, d), ".md").withColumn("text", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n\n## Part\n\n"))))
     return chunkers.text_chunks(md)
 
 
 @_query()
 def line_chunks(spark, d):
-    return chunkers.text_chunks(files(spark, d).where(F.endswith("path", F.lit(".json"))))
+    return chunkers.text_chunks(_named(files(spark, d), ".json"))
+
+
+@_query()
+def long_text_chunks(spark, d):
+    return chunkers.long_text_chunks(files(spark, d))
 
 
 @_query()

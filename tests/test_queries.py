@@ -61,3 +61,10 @@ def test_batches_hold_whole_texts(spark):
     rows = own.queries()["batch_whole_texts"](spark, DATA).collect()
     parts = len(texts) - len(rows)
     assert sum(len(r.batch_text) for r in rows) == sum(map(len, texts)) + parts * len("\n---\n") and max(map(len, texts)) > 50
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["paragraph_chunks", "markdown_sections", "line_chunks", "long_text_chunks"])
+def test_chunks_cover_all_documents(spark, name):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text RLIKE '[^ \\t-\\r]'").count()
+    assert own.queries()[name](spark, DATA).select("path").distinct().count() >= 0.95 * docs
