@@ -4,27 +4,30 @@ For each target (quality, toxic), both views are fitted to the labelled rows; in
 unlabelled ones that it is surest of, then both are fitted anew. On labelled rows held out from that, each view is calibrated
 and the two are combined. The combination then scores all documents, one pass, with weights of a fixed size.
 
-Fitting uses at most `most_labelled` labelled and `most_unlabelled` unlabelled rows, taken by a hash of doc_id; scoring covers
-every row.
+Fitting uses at most `most_labelled` labelled rows, taken by a hash of doc_id, and `most_bytes` of features at a time. Pseudo-labels
+are chosen from all unlabelled rows; scoring covers every row.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encoded
+from .common import drop_settled, encoded, settle
 from .fmindex import words_of
 
 SIZE = 1 << 17
 #: Distinct words a worker remembers the place of.
 CACHE = 300_000
+#: Steps of a logit by which rows are ranked.
+GRADES = 64
 
 
 def _bucket(x: float, steps: tuple[float, ...]) -> int:
@@ -154,37 +157,37 @@ class Combined:
         return self.text_fit[0] * self.text.logit(text) + self.text_fit[1], self.meta_fit[0] * self.meta.logit(meta) + self.meta_fit[1]
 
 
-def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, more_text: list[np.ndarray], more_meta: list[np.ndarray], rounds: int = 3, sure: float = 0.98, per_round: int = 500) -> Combined | float:
-    """The combined classifier, or the share of ones where the labels hold fewer than two of either class."""
-    if min(int(y.sum()), int(len(y) - y.sum())) < 2:
-        return float(y.mean()) if len(y) else 0.5
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    train = np.flatnonzero(~held)
-    test = np.flatnonzero(held) if held.any() else train
-    pick = lambda rows, at: [rows[i] for i in at]
-    given: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    views = {"text": (text, more_text), "meta": (meta, more_meta)}
-    fitted: dict[str, Logistic] = {}
-    fits: dict[str, np.ndarray] = {}
-    for r in range(rounds + 1):
-        for name, (own, more) in views.items():
-            extra = given[name]
-            labels = np.concatenate([y[train], np.array(list(extra.values()), np.float64)])
-            fitted[name] = Logistic().fit(pick(own, train) + pick(more, extra), labels)
-            fits[name] = _platt(fitted[name].logit(pick(own, test))[:, None], y[test])
-        if r == rounds:
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(fits[name][0] * fitted[name].logit(views[name][1]) + fits[name][1])
-            for side, value in ((p, 1.0), (1 - p, 0.0)):
-                best = [int(i) for i in np.argsort(-side, kind="stable")[: per_round * (r + 1)] if side[i] >= sure]
-                for i in best:
-                    given[other].setdefault(i, value)
-    a = fits["text"][0] * fitted["text"].logit(pick(text, test)) + fits["text"][1]
-    b = fits["meta"][0] * fitted["meta"].logit(pick(meta, test)) + fits["meta"][1]
-    return Combined(fitted["text"], fitted["meta"], fits["text"], fits["meta"], _platt(np.column_stack([a, b]), y[test]))
+class CoTraining:
+    """One target's two views while they teach each other. A fifth of the labelled rows is held out to calibrate them."""
+
+    def __init__(self, text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray) -> None:
+        held = np.arange(len(y)) % 5 == 4
+        if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+            held = np.zeros(len(y), bool)
+        self.y, self.rows, self.train = y, {"text": text, "meta": meta}, np.flatnonzero(~held)
+        self.test = np.flatnonzero(held) if held.any() else self.train
+        #: For each view, the rows that the other one was sure of: doc_id to features and label.
+        self.given: dict[str, dict[int, tuple[np.ndarray, float]]] = {"text": {}, "meta": {}}
+        self.fitted: dict[str, Logistic] = {}
+        self.fits: dict[str, np.ndarray] = {}
+
+    def fit(self) -> CoTraining:
+        for view, own in self.rows.items():
+            extra = list(self.given[view].values())
+            labels = np.concatenate([self.y[self.train], np.array([v for _, v in extra], np.float64)])
+            self.fitted[view] = Logistic().fit([own[i] for i in self.train] + [f for f, _ in extra], labels)
+            self.fits[view] = _platt(self._held(view)[:, None], self.y[self.test])
+        return self
+
+    def _held(self, view: str) -> np.ndarray:
+        return self.fitted[view].logit([self.rows[view][i] for i in self.test])
+
+    def calibrated(self, view: str, rows: list[np.ndarray]) -> np.ndarray:
+        return self.fits[view][0] * self.fitted[view].logit(rows) + self.fits[view][1]
+
+    def combined(self) -> Combined:
+        a, b = (self.fits[v][0] * self._held(v) + self.fits[v][1] for v in ("text", "meta"))
+        return Combined(self.fitted["text"], self.fitted["meta"], self.fits["text"], self.fits["meta"], _platt(np.column_stack([a, b]), self.y[self.test]))
 
 
 _DOC = ("doc_id", "text", "lang", "source", "n_chars")
@@ -196,43 +199,114 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def _collected(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Features of the rows with the given doc_ids (bounded in number), made on the executors."""
+def _featured(docs: DataFrame) -> DataFrame:
+    """doc_id, t, m: the features of both views of each row with a doc_id, as int32 arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
-        for batch in batches:
-            i, text, lang, source, n = (batch.column(c).to_pylist() for c in _DOC)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(i, pa.int64()), "t": pa.array([f.text(x).tobytes() for x in text], pa.binary()), "m": pa.array([f.meta(*x).tobytes() for x in zip(lang, source, n, strict=True)], pa.binary())}
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                i, text, lang, source, n = (whole.slice(at, 1000).column(c).to_pylist() for c in _DOC)
+                t, m = [f.text(x).tobytes() for x in text], [f.meta(*x).tobytes() for x in zip(lang, source, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "t", "m"])
+
+    return docs.where("doc_id IS NOT NULL").select(*_DOC).mapInArrow(run, "doc_id long, t binary, m binary")
+
+
+def _collected(featured: DataFrame, ids: list[int], most_bytes: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Features of the rows with the given doc_ids, those with the smallest hashes, up to most_bytes."""
+    if not ids:
+        return {}
+    wanted = featured.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    rows = featured.join(F.broadcast(wanted), "doc_id", "left_semi").withColumn("size", F.length("t") + F.length("m"))
+    before = Window.orderBy(_order(), "t", "m").rowsBetween(Window.unboundedPreceding, 0)
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in rows.withColumn("total", F.sum("size").over(before)).where(F.col("total") <= most_bytes).select("doc_id", "t", "m").toLocalIterator():
+        out.setdefault(r[0], (np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)))
+    return out
+
+
+def _order() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.lit(8))
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(*_DOC).mapInArrow(run, "doc_id long, t binary, m binary")
-    return {r[0]: (np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.int32)) for r in rows.toLocalIterator()}
 
+def _pseudo_labels(featured: DataFrame, marks: DataFrame, targets: dict[str, CoTraining], most: int, sure: float, most_bytes: int) -> None:
+    """Give each view the unlabelled rows of which the other view is surest, up to `most` for either label, out of all there are.
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_unlabelled: int = 6_000) -> dict[str, Combined | float]:
-    """Classifiers of `quality` and `toxic`. Labels without a document, or with a null in a target, do not count for it."""
+    All rows are scored; a histogram of the logits tells where the surest ones begin, so only about as many as asked for are
+    sorted. Equal ones go by a hash of doc_id.
+    """
+    keys = [(t, v) for t in targets for v in ("text", "meta")]
+    shared = featured.sparkSession.sparkContext.broadcast(targets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            rows = {"text": [np.frombuffer(x, np.int32) for x in whole.column("t").to_pylist()], "meta": [np.frombuffer(x, np.int32) for x in whole.column("m").to_pylist()]}
+            grades = [np.clip(shared.value[t].calibrated(v, rows[v]) * GRADES, -9999, 9999).astype(np.int32) for t, v in keys]
+            yield pa.RecordBatch.from_arrays([whole.column("doc_id"), *map(pa.array, grades)], names=["doc_id", *(f"g{k}" for k in range(len(keys)))])
+
+    scores = featured.mapInArrow(run, "doc_id long, " + ", ".join(f"g{k} int" for k in range(len(keys)))).join(marks.select("doc_id"), "doc_id", "left_anti")
+    scores = settle(scores, "view-scores")
+    spread = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("g")) for k in range(len(keys)))))
+    least = int(np.log(sure / (1 - sure)) * GRADES) + 1
+    counts = scores.select(spread.alias("x")).select("x.k", "x.g").where(F.abs("g") >= least).groupBy("k", "g").count().collect()
+    lists: list[DataFrame] = []
+    for k in range(len(keys)):
+        for sign in (1, -1):
+            many, cut = 0, None
+            for g, n in sorted(((sign * r[1], r[2]) for r in counts if r[0] == k and sign * r[1] > 0), reverse=True):
+                many, cut = many + n, g
+                if many >= most:
+                    break
+            if cut is not None:
+                g = sign * F.col(f"g{k}")
+                lists.append(scores.where(g >= cut).orderBy(g.desc(), _order()).limit(most).select("doc_id", F.lit(k).alias("k"), F.lit(float(sign > 0)).alias("value")))
+    if not lists:
+        return
+    found = functools.reduce(DataFrame.unionByName, lists).collect()
+    got = _collected(featured, sorted({r[0] for r in found}), most_bytes)
+    for i, k, value in sorted(map(tuple, found)):
+        target, view = keys[k]
+        other = "meta" if view == "text" else "text"
+        if i in got:
+            targets[target].given[other].setdefault(i, (got[i][other == "meta"], value))
+    shared.destroy()
+    drop_settled(scores)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_bytes: int = 256 << 20, rounds: int = 3, sure: float = 0.98, per_round: int = 500) -> dict[str, Combined | float]:
+    """Classifiers of `quality` and `toxic`, or the share of ones where the labels hold fewer than two of either class.
+
+    Labels without a document, or with a null in a target, do not count for it.
+    """
     docs = _documents(docs)
+    featured = settle(_featured(docs), "features", "zstd")
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL")
-    order = F.xxhash64(F.col("doc_id"), F.lit(8))
-    chosen = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(order).limit(most_labelled)
+    chosen = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).join(featured.select("doc_id"), "doc_id", "left_semi").orderBy(_order()).limit(most_labelled)
     labelled = {r[0]: (r[1], r[2]) for r in chosen.collect()}
-    free = docs.select("doc_id").where("doc_id IS NOT NULL").join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(order).limit(most_unlabelled)
-    pool = sorted({r[0] for r in free.collect()} - set(labelled))
-    spark = docs.sparkSession
-    got = _collected(docs, spark.createDataFrame([(i,) for i in [*labelled, *pool]], "doc_id long")) if labelled or pool else {}
-    more = [got[i] for i in pool if i in got]
+    got = _collected(featured, list(labelled), most_bytes)
     out: dict[str, Combined | float] = {}
+    targets: dict[str, CoTraining] = {}
     for k, target in enumerate(("quality", "toxic")):
         use = [i for i in labelled if i in got and labelled[i][k] is not None]
         y = np.array([float(labelled[i][k] > 0) for i in use])
-        out[target] = co_train([got[i][0] for i in use], [got[i][1] for i in use], y, [m[0] for m in more], [m[1] for m in more])
-    return out
-
-
-def scored(docs: DataFrame, models: dict[str, Combined | float], threshold: float = 0.5) -> DataFrame:
-    """doc_id, quality_score, toxic_score, accepted, row for row; accepted: quality at least, and toxicity below, the threshold."""
+        if min(int(y.sum()), int(len(y) - y.sum())) < 2:
+            out[target] = float(y.mean()) if len(y) else 0.5
+        else:
+            targets[target] = CoTraining([got[i][0] for i in use], [got[i][1] for i in use], y).fit()
+    for r in range(rounds if targets else 0):
+        _pseudo_labels(featured, marks, targets, per_round * (r + 1), sure, most_bytes)
+        for t in targets.values():
+            t.fit()
+    drop_settled(featured)
+    return out | {k: t.combined() for k, t in targets.items()}
+
+
+def scored(docs: DataFrame, models: dict[str, Combined | float], threshold: float = 0.5, rows_too: bool = False) -> DataFrame:
+    """doc_id, quality_score, toxic_score, accepted, row for row; accepted: quality at least, and toxicity below, the threshold.
+
+    rows_too adds the other columns of documents.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,16 +323,20 @@ def scored(docs: DataFrame, models: dict[str, Combined | float], threshold: floa
                     good &= p["quality"] >= threshold
                 if known["toxic"]:
                     good &= p["toxic"] < threshold
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(good)], names=["doc_id", "quality_score", "toxic_score", "accepted"])
+                more = _DOC[1:] if rows_too else ()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(i, pa.int64()), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(good), *(batch.column(c) for c in more)], names=["doc_id", "quality_score", "toxic_score", "accepted", *more]
+                )
 
-    return _documents(docs).mapInArrow(run, "doc_id long, quality_score double, toxic_score double, accepted boolean")
+    return _documents(docs).mapInArrow(run, "doc_id long, quality_score double, toxic_score double, accepted boolean" + (", text string, lang string, source string, n_chars long" if rows_too else ""))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds: int) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows_too: bool = False, **bounds: int) -> DataFrame:
     """Fit on the labels, score every document.
 
     Null and blank texts are scored by what is left, their metadata and the style of an empty text. Without labels of both
     classes a target has the share of ones (0.5 without labels) as every score and rejects nothing. Labels given twice count
-    as the worse one. Repeated rows are scored alike; columns that docs lacks are nulls, further ones are not read.
+    as the worse one. Repeated rows are scored alike; columns that docs lacks are nulls, further ones are not read. Of a very long
+    text all distinct words count, hashed to SIZE places, so its features are bounded.
     """
-    return scored(docs, fit(docs, labels, **bounds), threshold)
+    return scored(docs, fit(docs, labels, **bounds), threshold, rows_too)

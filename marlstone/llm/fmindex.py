@@ -14,10 +14,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded
+from .common import drop_settled, encoded, settle
 
 #: Words of a shard, one document at least. Longer documents are sharded with an overlap of a window less a word.
 SHARD = 1 << 20
@@ -57,11 +58,13 @@ class FMIndex:
     def __init__(self, x: np.ndarray) -> None:
         x = np.append(x, 0)
         self.n = n = len(x)
-        self.suffix = suffix = _suffix_array(x)
+        suffix = _suffix_array(x)
         self.last = last = x[suffix - 1]
         self.top = int(x.max())
         self.first = np.concatenate([[0], np.cumsum(np.bincount(x))])
+        # Of the suffix positions only the sampled ones are kept, and how many of them are up to each row.
         self.sampled = (suffix % SAMPLE == 0) | (last == 0)
+        self.sample, self.samples = suffix[self.sampled].astype(np.int32), np.cumsum(self.sampled, dtype=np.int32)
         self.levels: list[np.ndarray] = []
         rest, self.height = last, max(1, self.top.bit_length())
         for level in range(self.height - 1, -1, -1):
@@ -106,7 +109,7 @@ class FMIndex:
             rows[walk] = self.first[c] + self.rank(c, rows[walk])
             steps[walk] += 1
             walk = walk[~self.sampled[rows[walk]]]
-        return self.suffix[rows] + steps
+        return self.sample[self.samples[rows] - 1] + steps
 
 
 def _suffix_array(x: np.ndarray) -> np.ndarray:
@@ -209,12 +212,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _STATE = "doc_id long, text string, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
-def _marked(docs: DataFrame, windows: Windows, width: int, text_too: bool) -> DataFrame:
+def _marked(docs: DataFrame, shared: Broadcast[Windows], width: int, text_too: bool, keep: tuple[str, ...]) -> DataFrame:
+    """docs (doc_id, text, spans, items and the columns to keep) with the occurrences of one block's windows added."""
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
+        def done(rows: list[tuple], kept: list[pa.RecordBatch]) -> pa.RecordBatch:
             parts: list[list[bytes]] = []
             origin: list[tuple[int, int]] = []
             for r, (_, _, words, _, _) in enumerate(rows):
@@ -234,6 +237,7 @@ def _marked(docs: DataFrame, windows: Windows, width: int, text_too: bool) -> Da
                     r, k = origin[j]
                     spans[r] += [(s + k, e + k) for s, e in own]
                     items[r] |= names
+            also = pa.Table.from_batches(kept).combine_chunks()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -241,45 +245,71 @@ def _marked(docs: DataFrame, windows: Windows, width: int, text_too: bool) -> Da
                     pa.array([len(r[2]) for r in rows], pa.int64()),
                     pa.array([[{"start": s, "stop": e} for s, e in _merged(x)] for x in spans], span_type),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    *(also.column(c).chunk(0) for c in keep),
                 ],
-                names=["doc_id", "text", "n_words", "spans", "items"],
+                names=["doc_id", "text", "n_words", "spans", "items", *keep],
             )
 
-        rows, size = [], 0
+        rows, size, kept = [], 0, []
         for batch in batches:
-            for i, text, spans, items in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "spans", "items")), strict=True):
+            others, begun = batch.select([batch.schema.get_field_index("doc_id"), *(batch.schema.get_field_index(c) for c in keep)]), 0
+            for at, (i, text, spans, items) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "spans", "items")), strict=True)):
                 words = words_of(text)
                 if rows and size + len(words) > SHARD:
-                    yield done(rows)
-                    rows, size = [], 0
+                    yield done(rows, [*kept, others.slice(begun, at - begun)])
+                    rows, size, kept, begun = [], 0, [], at
                 rows.append((i, text, words, [(s["start"], s["stop"]) for s in spans], items))
                 size += len(words)
+            kept.append(others.slice(begun))
         if rows:
-            yield done(rows)
+            yield done(rows, kept)
 
-    return docs.select("doc_id", "text", "spans", "items").mapInArrow(run, _STATE)
+    kinds = dict(docs.dtypes)
+    return docs.select("doc_id", "text", "spans", "items", *keep).mapInArrow(run, ", ".join([_STATE, *(f"{c} {kinds[c]}" for c in keep)]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of hit words), row for row.
-
-    Null texts have no words and nothing hits them. An item without words has no window; an item with a null id is named
-    "null", repeated ids count once. An empty benchmark hits nothing. Other columns of either table are not read.
-    """
-    passes: list[list[tuple[str, str | None]]] = [[]]
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's items in blocks of about block_bytes of text; the driver has one block at a time."""
+    block: list[tuple[str, str | None]] = []
     size = 0
-    # The benchmark comes to the driver in order, block by block, never whole.
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("string")).toLocalIterator():
         n = len(r[1] or "")
-        if passes[-1] and size + n > block_bytes:
-            passes.append([])
-            size = 0
-        passes[-1].append((r[0], r[1]))
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r[0], r[1]))
         size += n
-    state = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.expr("cast(array() as array<struct<start:int,stop:int>>) as spans"), F.expr("cast(array() as array<string>) as items"))
-    for k, items in enumerate(passes):
-        state = _marked(state, Windows(items, width), width, k < len(passes) - 1)
+    yield block
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of hit words), row for row, and the columns of docs to keep.
+
+    Null texts have no words and nothing hits them. An item without words has no window; an item with a null id is named
+    "null", repeated ids count once. An empty benchmark hits nothing. Other columns of either table are not read. Each block of
+    a benchmark beyond block_bytes is a pass over the documents, whose state so far is a table in the shared folder.
+    """
+    also, context = tuple(c for c in keep if c not in ("doc_id", "text")), docs.sparkSession.sparkContext
+    empty = [F.expr("cast(array() as array<struct<start:int,stop:int>>) as spans"), F.expr("cast(array() as array<string>) as items")]
+    state = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *empty, *also)
+    before: DataFrame | None = None
+    blocks = _blocks(benchmark, block_bytes)
+    items = next(blocks)
+    while True:
+        more = next(blocks, None)
+        shared = context.broadcast(Windows(items, width))
+        state = _marked(state, shared, width, more is not None or "text" in keep, also)
+        if more is None:
+            break
+        settled = settle(state, "marked", "zstd")
+        shared.destroy()
+        if before is not None:
+            drop_settled(before)
+        before = state = settled
+        items = more
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]))
-    return state.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "spans").select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans"
+    return (
+        state.withColumn("n_hit", n_hit)
+        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated", "spans", *(c for c in keep if c != "doc_id"))
     )

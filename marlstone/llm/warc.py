@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,32 +24,29 @@ FANOUT = 16
 #: Levels above the leaves. A file of more than FANOUT ** DEPTH records has more than one node at the top, which is as good.
 DEPTH = 3
 DATE = "2000-01-01T00:00:00Z"
-_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n", re.I)
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _ID = re.compile(rb"\r\nWARC-Record-ID: <urn:marlstone:page:(-?\d+|none)>\r\n", re.I)
 
 
 def record(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
-    """One resource record; a null url or html is empty."""
+    """One resource record; a null url or html is empty. Control characters of the url, line ends too, are percent-encoded."""
+    url = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
     body = (html or "").encode("utf-8", "replace")
-    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:marlstone:page:{'none' if page_id is None else page_id}>\r\nWARC-Target-URI: {url or ''}\r\nWARC-Date: {date}\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:marlstone:page:{'none' if page_id is None else page_id}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n"
     head += f"WARC-Block-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode("utf-8", "replace") + body + b"\r\n\r\n"
 
 
-def records(content: bytes) -> Iterator[tuple[int, int]]:
-    """Offset and length of each record; what cannot be read as one ends the file as a last record."""
+def ranges(content: bytes, ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Start and stop of each record, and of what stands behind the last one."""
     at = 0
-    while at < len(content):
-        end = content.find(b"\r\n\r\n", at)
-        m = _LENGTH.search(content, at, end + 2) if end >= 0 and content.startswith(b"WARC/", at) else None
-        stop = end + 4 + int(m[1]) + 4 if m else len(content)
-        stop = min(stop, len(content))
-        yield at, stop - at
+    for stop in [*ends, *([len(content)] if len(content) > (ends[-1] if ends else 0) else [])]:
+        yield at, stop
         at = stop
 
 
 def write_warc(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """file, content: WARC files of the pages in order of page_id, file_pages consecutive ids each.
+    """file, content, ends: WARC files of the pages in order of page_id, file_pages consecutive ids each, and where their records end.
 
     Rows with a null page_id go to negative files by a hash; repeated rows give repeated records; an empty table no files.
     Other columns are not read.
@@ -56,28 +54,34 @@ def write_warc(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
 
     def build(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2] or ""))
-        return pa.table({"file": t.column("file").slice(0, 1), "content": pa.array([b"".join(record(*r) for r in rows)], pa.binary())})
+        parts = [record(*r) for r in rows]
+        ends = list(accumulate(map(len, parts)))
+        return pa.table({"file": t.column("file").slice(0, 1), "content": pa.array([b"".join(parts)], pa.binary()), "ends": pa.array([ends], pa.list_(pa.int64()))})
 
     file = F.when(F.col("page_id").isNotNull(), F.floor(F.col("page_id") / file_pages)).otherwise(-1 - F.pmod(F.xxhash64("url", "html"), F.lit(1 << 40)))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("file", file)
-    return settle(rows.groupBy("file").applyInArrow(build, "file long, content binary"), "warc", "zstd")
+    return settle(rows.groupBy("file").applyInArrow(build, "file long, content binary, ends array<long>"), "warc", "zstd")
 
 
 _NODES = "file long, level int, idx long, start long, stop long, hash string, digest string, page_id long"
 
 
 def merkle_nodes(files: DataFrame) -> DataFrame:
-    """All nodes of the files' trees: level 0 are records, with digest (of the bytes alone) and page_id."""
+    """All nodes of the files' trees: level 0 are records, with digest (of the bytes alone) and page_id.
+
+    Records are cut by the index that the writer kept, so damaged bytes never hide where the next one begins. Bytes behind the
+    last one, as a longer replica has, are a record of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             out: list[tuple] = []
             level: list[tuple] = []
-            for k, (at, n) in enumerate(records(row["content"])):
-                raw = row["content"][at : at + n]
+            for k, (at, stop) in enumerate(ranges(row["content"], row["ends"])):
+                raw = row["content"][at:stop]
                 digest, name = hashlib.sha256(raw).hexdigest(), _ID.search(raw)
                 number = int(name[1]) if name and name[1] != b"none" else None
-                level.append((row["file"], 0, k, at, at + n, hashlib.sha256(f"{at}-{at + n}:{digest}".encode()).hexdigest(), digest, number))
+                level.append((row["file"], 0, k, at, stop, hashlib.sha256(f"{at}-{stop}:{digest}".encode()).hexdigest(), digest, number))
             out += level
             for depth in range(1, DEPTH + 1):
                 above = []
@@ -91,7 +95,7 @@ def merkle_nodes(files: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["file", "level", "idx", "start", "stop", "hash", "digest", "page_id"])
 
-    return files.select("file", "content").mapInArrow(run, _NODES)
+    return files.select("file", "content", "ends").mapInArrow(run, _NODES)
 
 
 def replica_root(nodes: DataFrame, width: int = 4096) -> str:
@@ -133,14 +137,14 @@ def damaged_copy(files: DataFrame, hurts: Callable[[int | None], bool]) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             content = bytearray(row["content"])
-            for at, n in records(row["content"]):
-                name = _ID.search(row["content"], at, at + n)
+            for at, stop in ranges(row["content"], row["ends"]):
+                name = _ID.search(row["content"], at, stop)
                 if name and name[1] != b"none" and hurts(int(name[1])):
                     body = row["content"].find(b"\r\n\r\n", at) + 4
-                    content[at + n - 5 if at + n - 4 > body else row["content"].find(b"\r\nWARC-Date: ", at) + 13] ^= 1
-            yield pa.RecordBatch.from_arrays([pa.array([row["file"]], pa.int64()), pa.array([bytes(content)], pa.binary())], names=["file", "content"])
+                    content[stop - 5 if stop - 4 > body else row["content"].find(b"\r\nWARC-Date: ", at) + 13] ^= 1
+            yield pa.RecordBatch.from_arrays([pa.array([row["file"]], pa.int64()), pa.array([bytes(content)], pa.binary()), pa.array([row["ends"]], pa.list_(pa.int64()))], names=["file", "content", "ends"])
 
-    return files.select("file", "content").mapInArrow(run, "file long, content binary")
+    return files.select("file", "content", "ends").mapInArrow(run, "file long, content binary, ends array<long>")
 
 
 def fixity_drill(pages: DataFrame, every: int = 50, which: int = 7) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from marlstone.llm.warc import audit, fixity_drill, merkle_nodes, records, write_warc
+from marlstone.llm.warc import audit, fixity_drill, merkle_nodes, ranges, write_warc
 from marlstone.llm.wrappers import Judged, aligned, expression, general, infer_wrappers, main_text, parsed
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="x">
@@ -52,20 +52,20 @@ def test_wrapper_covers_all_pages(spark, pages):
 
 def test_warc(spark, pages):
     files = write_warc(pages, file_pages=4)
-    rows = {r.file: bytes(r.content) for r in files.collect()}
-    assert sum(len(list(records(c))) for c in rows.values()) == len(ROWS) and min(rows) < 0
+    rows, ends = {r.file: bytes(r.content) for r in files.collect()}, {r.file: list(r.ends) for r in files.collect()}
+    assert sum(map(len, ends.values())) == len(ROWS) and min(rows) < 0 and all(ends[f][-1] == len(c) for f, c in rows.items())
     assert page(7).encode() in rows[1] and rows[1].startswith(b"WARC/1.1\r\n")
     ours = merkle_nodes(files)
     assert audit(ours, ours).count() == 0
 
     def other(change):
-        return merkle_nodes(spark.createDataFrame([x for x in change if x], "file long, content binary"))
+        return merkle_nodes(spark.createDataFrame(change, "file long, content binary, ends array<long>"))
 
-    spans = {f: list(records(c)) for f, c in rows.items()}
-    cut = lambda f, k: rows[f][: spans[f][k][0]] + rows[f][sum(spans[f][k]) :]
+    spans = {f: list(ranges(c, ends[f])) for f, c in rows.items()}
+    first = spans[1][0][1]
     changed = bytearray(rows[2])
     changed[spans[2][1][0] + 300] ^= 4
-    theirs = other([(f, bytes(changed) if f == 2 else cut(1, 0) if f == 1 else c) for f, c in rows.items() if f != 0] + [(99, rows[0])])
+    theirs = other([(f, bytes(changed), ends[f]) if f == 2 else (f, c[first:], [e - first for e in ends[f][1:]]) if f == 1 else (f, c, ends[f]) for f, c in rows.items() if f != 0] + [(99, rows[0], ends[0])])
     got = sorted((r.file, r.idx, r.damage) for r in audit(ours, theirs).collect())
     assert (2, 1, "changed") in got and [g for g in got if g[0] == 2] == [(2, 1, "changed")]
     assert {g[2] for g in got if g[0] == 0} == {"missing"} and {g[2] for g in got if g[0] == 99} == {"extra"}
@@ -81,3 +81,10 @@ def test_many_records(spark):
     assert {r.page_id for r in drilled.where("damage <> 'none'").collect()} == {k for k in range(700) if k % 50 == 7}
 
 
+
+
+def test_odd_urls_lose_no_record(spark):
+    urls = ["http://a/\r\n\r\nWARC/1.1\r\n", "http://a/\r\nContent-Length: 3\r\n", "http://a/\0\n", "http://a/b c", None, ""]
+    rows = [(k, urls[k % len(urls)], "<p>x</p>\r\n\r\nWARC/1.1\r\n" * (k % 3)) for k in range(30)]
+    drilled = fixity_drill(spark.createDataFrame(rows, "page_id long, url string, html string"), every=10, which=7).collect()
+    assert sorted(r.page_id for r in drilled) == list(range(30)) and {r.page_id for r in drilled if r.damage != "none"} == {7, 17, 27}
