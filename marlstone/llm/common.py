@@ -39,14 +39,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def settle(df: DataFrame, name: str, compression: str = "lz4raw") -> DataFrame:
+def settle(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: this cuts the lineage and survives lost executors.
 
     The table goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression.replace("lz4raw", "lz4_raw")).parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._marlstone_path = path

@@ -9,7 +9,7 @@ together, differing bits add up, and a pair that exceeds the budget goes. A grou
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, encoded, settle
+from .common import LOWER, drop_settled, encoded, settle
 from .lookup import mix
 
 SEED = 42
@@ -35,14 +35,11 @@ def _counts(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: list[str | None], shingle: int, parts: int = 1) -> np.ndarray:
-    """uint64 fingerprints, (n,) or (n, parts). A bit is 1 if more than half the shingle hashes have it; no words: 0.
-
-    The first part is of the hashes themselves, each further one of another mixing of them.
-    """
+def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
+    """uint64 fingerprints. A bit is 1 if more than half the shingle hashes have it; no words: 0."""
     from xxhash import xxh64_intdigest as digest
 
-    counts, totals = np.zeros((parts, len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    counts, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     found: list[int] = []
     owner: list[tuple[int, int]] = []
 
@@ -51,9 +48,7 @@ def fingerprints_of(texts: list[str | None], shingle: int, parts: int = 1) -> np
             who, many = np.array(owner).T
             first = who[0]
             hashes, whose = np.array(found, np.uint64), np.repeat(who - first, many)
-            for k in range(parts):
-                own = mix(hashes + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93)) if k else hashes
-                counts[k, first : who[-1] + 1] += _counts(own, whose, int(who[-1] - first + 1))
+            counts[first : who[-1] + 1] += _counts(hashes, whose, int(who[-1] - first + 1))
             found.clear()
             owner.clear()
 
@@ -73,8 +68,7 @@ def fingerprints_of(texts: list[str | None], shingle: int, parts: int = 1) -> np
                 count()
     count()
     bits = (2 * counts > totals[:, None]).astype(np.uint8)
-    out = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
-    return out[0] if parts == 1 else out.T.copy()
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -90,11 +84,17 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _join_nodes(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, free_bits: int, distance: int, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of keys within `distance` bits, from trie nodes [lo, hi) of the sorted keys that share all but free_bits bits.
+def _join_nodes(
+    keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, free_bits: int, allowed: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], owner: np.ndarray | None = None, chunk: int = 1 << 19
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of keys for which near(i, j) holds, from trie nodes [lo, hi), each of sorted keys that share all but free_bits bits.
 
-    Node pairs of one level are handled together; a work list of chunks, deepest first, bounds the memory.
+    Two nodes descend together, their differing bits add up, and a pair of nodes goes when it has more of them than allowed[n]
+    after n bits, or when all below both has the same owner. Node pairs of one level are handled together; a work list of chunks,
+    deepest first, bounds the memory.
     """
+    change = np.cumsum(np.r_[0, owner[1:] != owner[:-1]]) if owner is not None else None
+    ones: dict[int, np.ndarray] = {}
     work = [(free_bits, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while work:
         depth, a0, a1, b0, b1, err = work.pop()
@@ -112,22 +112,30 @@ def _join_nodes(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, free_bits: int
             k = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
             width = (y1 - y0)[own]
             i, j = x0[own] + k // width, y0[own] + k % width
-            near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= distance)
-            if near.any():
-                yield i[near], j[near]
+            open_ = (i < j) if owner is None else (i < j) & (owner[i] != owner[j])
+            i, j = i[open_], j[open_]
+            good = near(i, j)
+            if good.any():
+                yield i[good], j[good]
         if leaf.all():
             continue
         a0, a1, b0, b1, err = (v[~leaf] for v in (a0, a1, b0, b1, err))
-        bit = np.uint64(1) << np.uint64(depth - 1)
-        above = np.uint64((1 << 64) - (1 << depth))
-        am = np.clip(np.searchsorted(keys, (keys[a0] & above) | bit), a0, a1)
-        bm = np.clip(np.searchsorted(keys, (keys[b0] & above) | bit), b0, b1)
+        if depth not in ones:
+            if len(ones) >= 4:
+                ones.clear()
+            ones[depth] = np.cumsum(np.r_[0, (keys >> np.uint64(depth - 1)).astype(np.int64) & 1])
+        up = ones[depth]
+        am, bm = a1 - (up[a1] - up[a0]), b1 - (up[b1] - up[b0])
         same = a0 == b0
         parts = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), *[tuple(v[~same] for v in (am, a1, b0, bm, err + 1))]]
         x = [np.concatenate(v) for v in zip(*parts, strict=True)]
-        live = (x[0] < x[1]) & (x[2] < x[3]) & (x[4] <= distance)
-        if live.any():
-            work.append((depth - 1, *(v[live] for v in x)))
+        live = (x[0] < x[1]) & (x[2] < x[3]) & (x[4] <= allowed[free_bits - depth + 1])
+        x = [v[live] for v in x]
+        if change is not None and len(x[0]):
+            mixed = (owner[x[0]] != owner[x[2]]) | (change[x[0]] != change[x[1] - 1]) | (change[x[2]] != change[x[3] - 1])
+            x = [v[mixed] for v in x]
+        if len(x[0]):
+            work.append((depth - 1, *x))
 
 
 def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
@@ -186,7 +194,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
             lo, hi = np.r_[0, cut], np.r_[cut, len(keys)]
             many = hi - lo > 1
             label = np.arange(len(keys))
-            for i, j in _join_nodes(keys, lo[many], hi[many], 64 - width, distance):
+            near = lambda i, j, keys=keys: np.bitwise_count(keys[i] ^ keys[j]) <= distance
+            for i, j in _join_nodes(keys, lo[many], hi[many], 64 - width, np.full(65, distance), near):
                 _rooted(label, i, j)
             tied = np.flatnonzero(label != np.arange(len(keys)))
             if len(tied):
@@ -200,7 +209,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """node, component (the smallest id reachable) of every node in edges (a, b), by large-star and small-star rounds.
 
-    Each round is written to the shared folder; rounds end when the edges no longer change.
+    Each round is written to the shared folder; rounds end when the edges no longer change, which takes about as many as the
+    logarithm of the largest component. RuntimeError if they still do after most_rounds.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = None
@@ -210,12 +220,13 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
-        edges = settle(small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct(), "edges")
+        before, edges = edges, settle(small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct(), "edges")
+        drop_settled(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == sign:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         sign = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
@@ -234,8 +245,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 3) -> Dat
 
 #: Of this share of the documents shingles are counted, to tell common ones; this only orders shingles, results never depend on it.
 COUNTED = 16
-#: Common shingles told to the tasks at most, and pairs that one step of a task makes.
-MOST_COMMON, STEP = 1 << 20, 1 << 20
+#: Common shingles told to the tasks at most, and pairs or rows that one step of a task makes.
+MOST_COMMON, STEP = 1 << 20, 1 << 18
+#: 64-bit parts of the signatures with which similar texts are searched for.
+PARTS = 8
+#: Sets of fewer shingles than this count as small: their bits differ more often than a long text's.
+SMALL = 16
 
 
 def _shingles(text: str | None, shingle: int) -> Iterator[tuple[bytes, ...]]:
@@ -252,6 +267,30 @@ def _hashed(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(s), SEED) >> 4 for s in _shingles(text, shingle)), np.int64))
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """uint64 SimHash signatures of PARTS words, (n, PARTS), of sets of hashes."""
+    counts, at = np.zeros((PARTS, len(sets), 64), np.int64), 0
+    sizes = np.array([len(x) for x in sets], np.int64)
+    while at < len(sets):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK)) + at)
+        flat, own = np.concatenate(sets[at:end]).astype(np.uint64), np.repeat(np.arange(end - at), sizes[at:end])
+        for k in range(PARTS):
+            counts[k, at:end] = _counts(mix(flat + np.uint64((0xD6E8FEB86659FD93 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)), own, end - at)
+        at = end
+    return np.packbits((2 * counts > sizes[:, None]).astype(np.uint8), axis=2, bitorder="little").view(np.uint64)[:, :, 0].T.copy()
+
+
+def bit_budget(bits: int | np.ndarray, similarity: float, small: bool | np.ndarray = False, deviations: float = 4.5) -> np.ndarray:
+    """How many of so many signature bits two sets with that Jaccard similarity may differ in.
+
+    A bit of two sets of equal size differs with the chance that their angle has of half a turn; for sets of a few shingles, of
+    which there are as many as can tie, it was found to be up to 0.04 more. The budget is `deviations` standard deviations above
+    the mean, so fewer than one pair in 10^5 exceeds it.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi + np.where(small, 0.04, 0.01)
+    return np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))).astype(np.int64)
+
+
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     """Sorted hashes of shingles that many of the counted documents have."""
 
@@ -291,10 +330,12 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Edges (a, b) between nodes of signed that connect all texts `similarity` alike or more, and no others.
 
-    Two sets that much alike share a shingle among the first n - ceil(similarity * n) + 1 of each in any one order, so the nodes
-    that share one of these (rows of `met`) hold every pair. First each node is tried with the node it meets most often as the
-    least of a group, which ties large groups of near copies at one comparison a node; then all pairs that are not tied yet,
-    less those whose first shingles in common are too few for the similarity, are compared.
+    Two sets that much alike share a shingle among the first n - ceil(similarity * n) + 1 of each in any one order, so the groups
+    of nodes that share one of these (rows of `met`) hold every pair. First each node is tried with the node it meets most often
+    as the least of a group, which ties large groups of near copies at one comparison a node. Then each group's binary trie of
+    signatures is joined with itself: node pairs go that exceed the budget of differing bits, or whose nodes are all tied
+    already; and pairs of which one has too few shingles from the group's one on (for the first one in common they are enough
+    where a pair is similar). What is left is compared by its shingles.
     """
     nodes = signed.where("doc_id IS NOT NULL AND n > 0")
 
@@ -303,22 +344,22 @@ def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity:
         if not got:
             return
         rows = pa.Table.from_batches(got)
-        k, node = rows.column("k").to_numpy(), rows.column("node").to_numpy()
+        k, node, place = (rows.column(c).to_numpy() for c in ("k", "node", "place"))
         order = np.lexsort((node, k))
-        k, node = k[order], node[order]
+        k, node, place = k[order], node[order], place[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]
-        k, node = k[new], node[new]
+        k, node, place = k[new], node[new], place[new]
         start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[start, len(k)])
         many = np.repeat(size, size) > 1
         lead = np.repeat(node[start], size)
         for at in range(0, len(k), STEP):
             s = slice(at, at + STEP)
-            yield pa.RecordBatch.from_arrays([pa.array(v[s][many[s]]) for v in (k, node, lead)], names=["k", "node", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[s][many[s]]) for v in (k, node, place, lead)], names=["k", "node", "place", "lead"])
 
-    spread = nodes.select("node", F.explode("first").alias("k"))
-    met = settle(spread.repartition("k").mapInArrow(meet, "k long, node long, lead long"), "met", "zstd")
-    known = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("last").alias("last"), F.min("text_hash").alias("text_hash"))
+    spread = nodes.select("node", F.posexplode("first").alias("place", "k"))
+    met = settle(spread.repartition("k").mapInArrow(meet, "k long, node long, place int, lead long"), "met", "zstd")
+    known = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("sig").alias("sig"))
     sizes = settle(known.join(met.select("node").distinct(), "node", "left_semi"), "met-sizes")
 
     def texts(pairs: DataFrame) -> DataFrame:
@@ -327,45 +368,82 @@ def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity:
         return have.join(want, "text_hash").dropDuplicates(["node"]).select("node", "text")
 
     most = met.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "lead")).alias("m"))
-    likely = most.join(sizes, "node").where("m.c * 20 >= n").select(F.col("node").alias("a"), F.col("m.lead").alias("b"))
-    tries = settle(likely, "tries")
+    tries = settle(most.join(sizes, "node").where("m.c * 20 >= n").select(F.col("node").alias("a"), F.col("m.lead").alias("b")), "tries")
     sure = settle(_alike(tries, texts(tries), shingle, similarity), "sure-links")
     tied = components(sure)
+    budget = [int(bit_budget(64 * PARTS, similarity, small)) for small in (False, True)]
+    by_depth = bit_budget(np.arange(65), similarity, True)
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pair(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        rows = pa.Table.from_batches(got)
-        k, node, n, group = (rows.column(c).to_numpy() for c in ("k", "node", "n", "component"))
-        order = np.lexsort((node, k))
-        k, node, n, group = k[order], node[order], n[order], group[order]
-        after = np.searchsorted(k, k, side="right") - np.arange(len(k)) - 1
-        for at in _runs(after, STEP):
-            many = after[at]
-            i = np.repeat(np.arange(at.start, at.stop), many)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-            can = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
-            if can.any():
-                two, c = np.unique(np.stack([node[i[can]], node[j[can]]], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(c)], names=["a", "b", "c"])
-
-    told = met.join(sizes.select("node", "n"), "node").join(tied, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("component"))
-    shared = told.repartition("k").mapInArrow(pair, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    x, y = (sizes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("last").alias("last_" + c)) for c in "ab")
-    # Of the set whose first shingles end earlier, all that the other one has among them is counted in c; the rest may be shared.
-    least = lambda n: F.ceil(F.col(n) * similarity - 1e-9) - 1
-    most_shared = F.col("c") + F.when(F.col("last_a") <= F.col("last_b"), least("n_a")).otherwise(least("n_b"))
-    likely = shared.join(x, "a").join(y, "b").where(most_shared >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6)
-    rest = settle(likely.select("a", "b"), "rest-pairs")
-    return sure.unionByName(_alike(rest, texts(rest), shingle, similarity))
+        rows = pa.Table.from_batches(got).combine_chunks()
+        k, node, place, n, owner = (rows.column(c).to_numpy() for c in ("k", "node", "place", "n", "component"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(-1, PARTS)
+        order = np.lexsort((sig[:, 0], k))
+        k, node, n, owner, sig = k[order], node[order], n[order], owner[order], sig[order]
+        left = n - place[order]
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        stop = np.r_[start[1:], len(k)]
+
+        def bits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.bitwise_count(sig[i[s : s + STEP]] ^ sig[j[s : s + STEP]]).sum(1) for s in range(0, max(1, len(i)), STEP)])
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            good = (low >= similarity * high - 1e-6) & (np.minimum(left[i], left[j]) >= (low + high) * (similarity / (1 + similarity)) - 1e-6)
+            at = np.flatnonzero(good)
+            good[at] = bits(i[at], j[at]) <= np.where(low[at] < SMALL, budget[1], budget[0])
+            return good
+
+        def out(two: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b"])
+
+        held: list[np.ndarray] = []
+        if nearest:
+            names, who = np.unique(node, return_inverse=True)
+            best, partner = np.full(len(names), 1 << 20), np.zeros(len(names), np.int64)
+        for i, j in _join_nodes(sig[:, 0], start, stop, 64, by_depth, near, owner):
+            if nearest:
+                d = bits(i, j)
+                for x, y in ((i, j), (j, i)):
+                    by = np.lexsort((node[y], d, who[x]))
+                    head = by[np.r_[True, who[x][by][1:] != who[x][by][:-1]]]
+                    w = who[x][head]
+                    closer = d[head] < best[w]
+                    best[w[closer]], partner[w[closer]] = d[head][closer], node[y][head][closer]
+                continue
+            held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+            if sum(map(len, held)) >= STEP:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) >= STEP // 2:
+                    yield out(held.pop())
+        if nearest and (found := np.flatnonzero(best < 1 << 20)).size:
+            held.append(np.sort(np.stack([names[found], partner[found]], axis=1), axis=1))
+        if held:
+            yield out(np.unique(np.concatenate(held), axis=0))
+
+    def candidates(tied: DataFrame, nearest: bool) -> DataFrame:
+        told = met.join(sizes.select("node", "n", "sig"), "node").join(tied, "node", "left").select("k", "node", "place", "n", F.coalesce("component", "node").alias("component"), "sig")
+        return settle(told.repartition("k").mapInArrow(lambda batches: pair(batches, nearest), "a long, b long").distinct(), "candidates")
+
+    links_so_far = sure
+    for nearest in (True, True, False):
+        pairs = candidates(tied, nearest)
+        good = settle(_alike(pairs, texts(pairs), shingle, similarity), "links")
+        links_so_far = links_so_far.unionByName(good)
+        if nearest:
+            tied = components(links_so_far)
+    return links_so_far
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id, row for row: groups of texts tied by links of an exact Jaccard similarity of word shingles of `similarity` or more.
+    """doc_id, component_id, text_hash, group, row for row: groups of texts tied by an exact Jaccard similarity of word shingles of `similarity` or more.
 
     Texts of fewer words are one shingle. Null and blank texts are all alike. Rows whose doc_id is null tie no others; they get
-    the component of their set of shingles, null if no other row has an id.
+    the component of their set of shingles, null if no other row has an id. component_id is the group's smallest doc_id, group
+    tells groups apart also where all doc_ids are null, text_hash is xxhash64(text).
     """
     from xxhash import xxh64_intdigest as digest
 
@@ -376,23 +454,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets, nodes, first = [], [], []
-                for text in part.column(1).to_pylist():
-                    own = _hashed(text, shingle)
-                    sets.append(len(own))
-                    nodes.append(digest(own.tobytes(), SEED))
+                sets = [_hashed(text, shingle) for text in part.column(1).to_pylist()]
+                nodes, first = [digest(own.tobytes(), SEED) for own in sets], []
+                for own in sets:
                     if len(often):
                         place = np.minimum(np.searchsorted(often, own), len(often) - 1)
                         own = np.sort(own | ((often[place] == own).astype(np.int64) << 60))
                     first.append(own[: _prefix(len(own), similarity)])
-                last = [int(f[-1]) if len(f) else 0 for f in first]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.int64()), pa.array(last, pa.int64()), lists], names=["doc_id", "text_hash", "node", "n", "last", "first"])
+                sigs = pa.array([x.tobytes() for x in signatures(sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), sigs, lists], names=["doc_id", "text_hash", "node", "n", "sig", "first"]
+                )
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, text_hash long, node long, n long, last long, first array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, text_hash long, node long, n long, sig binary, first array<long>")
     signed = settle(rows, "shingled", "zstd")
     tied = components(similar_links(docs, signed, shingle, similarity))
-    named = signed.groupBy("node").agg(F.min("doc_id").alias("rep")).join(tied, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return signed.select("doc_id", "node").join(named.join(lowest, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
+    named = signed.groupBy("node").agg(F.min("doc_id").alias("rep")).join(tied, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
+    lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return signed.select("doc_id", "node", "text_hash").join(named.join(lowest, "group").select("node", "group", "component_id"), "node", "left").select("doc_id", "component_id", "text_hash", "group")

@@ -42,9 +42,36 @@ def test_trie_pairs_equal_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     keys = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(6))]))
-    got = sorted((int(i), int(j)) for a, b in _join_nodes(keys, np.array([0]), np.array([len(keys)]), 64, 3, chunk=64) for i, j in zip(a, b, strict=True))
+    near = lambda i, j: np.bitwise_count(keys[i] ^ keys[j]) <= 3
+    joined = lambda owner: sorted((int(i), int(j)) for a, b in _join_nodes(keys, np.array([0]), np.array([len(keys)]), 64, np.full(65, 3), near, owner, chunk=64) for i, j in zip(a, b, strict=True))
+    got = joined(None)
     want = [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if int(keys[i] ^ keys[j]).bit_count() <= 3]
     assert got == want and want
+    owner = rng.integers(0, 3, len(keys))
+    assert joined(owner) == [(i, j) for i, j in want if owner[i] != owner[j]]
+    assert joined(np.zeros(len(keys), np.int64)) == []
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Copies at 0.8, 0.85 and 0.9, of texts of all lengths: all are found, though only signatures within the budget are compared."""
+    rng = random.Random(21)
+    words, docs, want = [f"w{k}" for k in range(5000)], [], {0.8: 0, 0.85: 0, 0.9: 0}
+    for k in range(240):
+        n = rng.choice([30, 60, 150, 400, 900])
+        base, least = [rng.choice(words) for _ in range(n)], rng.choice(sorted(want))
+        copy = list(base)
+        sets = lambda x: {tuple(x[j : j + 5]) for j in range(len(x) - 4)}
+        own = sets(base)
+        for _ in range(n):
+            other = list(copy)
+            other[rng.randrange(len(other))] = rng.choice(words)
+            if len(own & sets(other)) / len(own | sets(other)) < least:
+                break
+            copy = other
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want[least] += 1
+    got = {r.doc_id: r.component_id for r in similar_groups(documents(spark, docs)).collect()}
+    assert all(n > 40 for n in want.values()) and all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(240))
 
 
 def test_similar_groups_find_near_copies(spark):
