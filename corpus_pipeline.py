@@ -20,26 +20,33 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts."""
+    """Documents that the co-trained classifier accepts; each row has its own verdict, whatever its doc_id."""
     from marlstone.llm.cotraining import classify
 
     ship(spark)
-    verdict = classify(docs, table(spark, sf_dir, "labels")).where("NOT accepted").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(*COLUMNS)
+    return classify(docs, table(spark, sf_dir, "labels"), rows_too=True).where("accepted").select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; five-word shingles, 0.8 alike or more.
+    """One document of each group of near duplicates; five-word shingles, 0.8 alike or more.
 
-    Of repeated doc_ids one row stays. Rows without a doc_id stay.
+    The one with the smallest doc_id stays; of several rows with that doc_id one of those with the smallest hash of text, and one
+    without a doc_id only where no row of the group has one. Rows go by doc_id and text, so other texts under the same doc_id stay.
     """
     from marlstone.llm.simhash import similar_groups
 
     ship(spark)
-    found = settle(similar_groups(docs, shingle=5, similarity=0.8).where("doc_id = component_id OR doc_id IS NULL").select("doc_id"), "kept-ids")
-    kept = docs.join(found.distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
-    twice = not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL")) if twice else kept
+    groups = settle(similar_groups(docs, shingle=5, similarity=0.8), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
+    found = settle(first.select(F.col("f.doc_id").alias("sn_id"), F.col("f.text_hash").alias("sn_hash")), "kept-rows")
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
+    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("sn_id")) & (F.col("hash") == F.col("sn_hash")), "left_semi")
+    copies = groups.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("sn_id"), F.col("text_hash").alias("sn_hash"))
+    if copies.isEmpty():
+        return kept.select(*COLUMNS)
+    # Rows alike in doc_id and text: one of them stays.
+    again = F.col("doc_id").eqNullSafe(F.col("sn_id")) & (F.col("hash") == F.col("sn_hash"))
+    return kept.join(copies, again, "left_anti").unionByName(kept.join(copies, again, "left_semi").dropDuplicates(["doc_id", "hash"])).select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,20 +55,19 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     ship(spark)
     spans = repeated_spans(docs, length=50, text_too=True).where("n_removed > 0")
-    changed = settle(spans.select("doc_id", F.col("text_hash").alias("ms_hash"), F.col("kept").alias("ms_left")).dropDuplicates(["doc_id", "ms_hash"]), "cut-texts", "zstd")
-    rest = docs.select(*COLUMNS, F.xxhash64("text").alias("ms_hash")).join(changed, ["doc_id", "ms_hash"], "left")
+    changed = settle(spans.select(F.col("doc_id").alias("ms_id"), F.col("text_hash").alias("ms_hash"), F.col("kept").alias("ms_left")).dropDuplicates(["ms_id", "ms_hash"]), "cut-texts", "zstd")
+    rest = docs.select(*COLUMNS).join(changed, F.col("doc_id").eqNullSafe(F.col("ms_id")) & (F.xxhash64("text") == F.col("ms_hash")), "left")
     cut = F.col("ms_left").isNotNull()
     n_chars = F.when(cut, F.length("ms_left").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return rest.where("ms_left IS NULL OR ms_left <> ''").select("doc_id", F.coalesce("ms_left", "text").alias("text"), "lang", "source", n_chars)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words are in windows of 13 benchmark words."""
+    """Documents of which less than a twentieth of the words are in windows of 13 benchmark words; each row has its own verdict."""
     from marlstone.llm.fmindex import contamination
 
     ship(spark)
-    hit = contamination(docs, table(spark, sf_dir, "benchmark"), width=13).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return contamination(docs, table(spark, sf_dir, "benchmark"), width=13, keep=COLUMNS).where("NOT contaminated").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
