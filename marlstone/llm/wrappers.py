@@ -2,14 +2,17 @@
 
 A page becomes a stream of tag and text tokens, nested by the tags. Streams of one host are aligned one after the other, level by
 level: texts that differ become a text slot, tokens that only one side has become optional, tokens or groups that follow
-themselves become repeated. What results is the host's wrapper. Partitions infer partial wrappers from their own pages, which
-are aligned with each other in turn, so a host with a third of all pages is no task of its own. Each slot of the wrapper is
-then judged once (inside the article or not, in a menu, notice, form, comment and so on), and each page is matched against its
-host's wrapper to read the texts of the slots that count.
+themselves become repeated. What results is the host's wrapper. Pages of equal structure are summed up first, wherever they are,
+and structures are aligned in their own order, so a host with a third of all pages is no task of its own and the result does not
+depend on how pages are dealt. Each text slot of the wrapper is then judged once, by what the alignment shows over all pages
+(whether the text changes, how much of it is links, which part of the host's prose its element holds) with the element's name
+and class as a prior. A page is read by the verdicts of its slots alone.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html as html_lib
 import json
 import re
@@ -23,8 +26,18 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Longest group of tokens that is looked for as a repeated group.
 PERIOD = 3
-#: Pages of a host from which on a text that never changes counts as part of the template.
+#: Different pages that must have the same text in a slot, and no other, for it to count as part of the template.
 STEADY = 8
+#: Texts up to this length are kept as they are, longer ones as a hash.
+SHOWN = 200
+#: Elements nested more deeply are siblings.
+DEPTH = 100
+#: Comparisons of two lists of tokens beyond which they are aligned by symbol, whatever the order.
+CELLS = 1 << 18
+#: Structures of pages that a task holds; more are sent on and summed up later.
+HELD = 2000
+#: An element that holds more than this share of the host's prose is not aside for its class; one with more than this share of links is a menu.
+MOST, LINKS = 0.5, 0.6
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|math|object|textarea|title)\b[^>]*>.*?(?:</\1[^>]*>|$)|<[!?][^>]*(?:>|$)"
@@ -43,6 +56,7 @@ BLOCK = frozenset(
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table body article main section div".split())
 _ASIDE = frozenset("nav footer aside form button select dialog menu head".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre code span b i em strong u q td th dd dt figcaption cite mark small".split())
 _ASIDE_WORD = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sidebar|side-?bar|menu\w*|nav\w*|footer|masthead|toolbar|cookies?|consent|gdpr|notices?|alert|promo\w*|related|recommend\w*"
     r"|share|sharing|social|comments?|reply|replies|respond|disqus|newsletter|subscribe|signup|login|breadcrumbs?|pagination|pager|popup|modal|overlay|widget"
@@ -63,7 +77,7 @@ def host_of(url: str | None) -> str:
 def parsed(source: str | None) -> list:
     """The nested token stream of a page: elements as [symbol, children], texts as strings with references decoded."""
     top: list = ["", []]
-    stack: list[tuple[str, list]] = [("", top)]
+    stack: list[tuple[str, list, int]] = [("", top, 0)]
     for m in _TOKEN.finditer(source or ""):
         text = m[8]
         if text is not None:
@@ -104,28 +118,41 @@ def parsed(source: str | None) -> list:
         node = [symbol, []]
         stack[-1][1][1].append(node)
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, node))
+            depth = stack[-1][2]
+            if depth >= DEPTH and (depth >= DEPTH + 20 or not _is_aside(symbol, False)):
+                node, depth = [symbol, stack[-1][1][1]], depth - 1  # what it holds stands beside it
+            stack.append((name, node, depth + 1))
     return top[1]
 
 
-# A wrapper is a list of items [symbol, optional, repeated, value, children, characters, characters in links]. A text slot has
-# the symbol TEXT and as its value the text that all pages have there, or None; a repeated group has the symbol "(...)".
+# A wrapper is a list of items [symbol, optional, repeated, value, children, characters, characters in links, pages]. A text slot
+# has the symbol TEXT and as its value the text that all pages have there, or None; pages are the lowest hashes of up to STEADY
+# different pages that have that value. A repeated group has the symbol "(...)".
 
 
-def general(children: list, linked: bool = False) -> list:
-    """The wrapper of one page."""
+def general(children: list, page: int = 0, linked: bool = False) -> list:
+    """The wrapper of one page; page is a hash of it."""
     items: list = []
     for c in children:
         if isinstance(c, str):
             value = " ".join(c.split())
             if value:
                 n = len(value)
-                items.append([TEXT, False, False, value if n <= 200 else None, [], n, n if linked else 0])
+                items.append([TEXT, False, False, value if n <= SHOWN else f"\0{_hash(value)}", [], n, n if linked else 0, [page]])
         else:
-            items.append([c[0], False, False, None, general(c[1], linked or c[0].split(".", 1)[0] == "a"), 0, 0])
+            items.append([c[0], False, False, None, general(c[1], page, linked or c[0].split(".", 1)[0] == "a"), 0, 0, []])
     return folded(items)
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=7).digest(), "big")
+
+
+def _shape(items: list) -> str:
+    """What two wrappers that differ in texts only have in common."""
+    return "".join(f"{s}{'?' * o}{'+' * r}[{_shape(c)}]" for s, o, r, _, c, *_ in items)
+
+
 def folded(items: list) -> list:
     """items with runs of one token, or of a group of up to PERIOD tokens, as one repeated item."""
     out: list = []
@@ -155,7 +182,7 @@ def folded(items: list) -> list:
                 elif len(out) >= 2 * p and [x[0] for x in tail] == [x[0] for x in out[-2 * p : -p]]:
                     before = out[-2 * p : -p]
                     del out[-2 * p :]
-                    out.append([_group(tail), False, True, None, [merged(a, b) for a, b in zip(before, tail, strict=True)], 0, 0])
+                    out.append([_group(tail), False, True, None, [merged(a, b) for a, b in zip(before, tail, strict=True)], 0, 0, []])
                     done = False
                 if not done:
                     break
@@ -170,7 +197,9 @@ def _group(items: list) -> str:
 
 def merged(a: list, b: list) -> list:
     """One item for two of the same symbol."""
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, aligned(a[4], b[4]), a[5] + b[5], a[6] + b[6]]
+    value = a[3] if a[3] == b[3] else None
+    pages = sorted({*a[7], *b[7]})[:STEADY] if value is not None else []
+    return [a[0], a[1] or b[1], a[2] or b[2], value, aligned(a[4], b[4]) if a[4] or b[4] else [], a[5] + b[5], a[6] + b[6], pages]
 
 
 def aligned(a: list, b: list) -> list:
@@ -178,6 +207,8 @@ def aligned(a: list, b: list) -> list:
     if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
         return [merged(x, y) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
+    if n * m > CELLS:
+        return _by_symbol([*a, *b])
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -196,12 +227,21 @@ def aligned(a: list, b: list) -> list:
     return folded(out)
 
 
+def _by_symbol(items: list) -> list:
+    """Very long lists: each symbol once, optional and repeated."""
+    out: dict[str, list] = {}
+    for x in items:
+        for y in x[4] if x[0].startswith("(") else [x]:
+            out[y[0]] = merged(out[y[0]], y) if y[0] in out else list(y)
+    return [[y[0], True, True, *y[3:]] for y in out.values()]
+
+
 def expression(items: list) -> str:
     """The wrapper as a regular expression over tokens, for reading."""
     parts = []
     for s, optional, repeated, value, children, *_ in items:
         if s == TEXT:
-            part = "#PCDATA" if value is None else json.dumps(value, ensure_ascii=False)
+            part = "#PCDATA" if value is None or value.startswith("\0") else json.dumps(value, ensure_ascii=False)
         elif s.startswith("("):
             part = f"({expression(children)})"
         else:
@@ -212,58 +252,98 @@ def expression(items: list) -> str:
 
 
 class Judged:
-    """A host's wrapper with a verdict on each text slot."""
-
-    def __init__(self, items: list, pages: int) -> None:
-        self.pages = pages
-        self.rooted = self._has_root(items)
-        self.top = self._judge(items, False, False)
-
-    def _has_root(self, items: list) -> bool:
-        return any(_is_root(x[0]) or self._has_root(x[4]) for x in items)
+    """A host's wrapper with a verdict on each text slot: symbol to [slots of the children, verdict on pages with a root, on others]."""
+
+    def __init__(self, items: list) -> None:
+        self.prose = max(1, self._prose(items))
+        self.top = self._judge(items, False, False, False, self._main(items), _all_steady(items))
+
+    def _prose(self, items: list) -> int:
+        """Characters of changing text outside of links, and outside of what is aside by name."""
+        return sum(max(0, x[5] - x[6]) * (not _steady(x)) if x[0] == TEXT else 0 if _named_aside(x[0]) else self._prose(x[4]) for x in items)
+
+    def _links(self, items: list) -> tuple[int, int]:
+        chars, linked = 0, 0
+        for x in items:
+            own = (x[5], x[6]) if x[0] == TEXT else self._links(x[4])
+            chars, linked = chars + own[0], linked + own[1]
+        return chars, linked
+
+    def _main(self, items: list) -> int | None:
+        """For pages without a root: id() of the children of the element that holds most of the prose and has some of its own."""
+        flat = [y for x in items for y in (x[4] if x[0].startswith("(") else [x])]
+        if any(y[0] == TEXT or y[0].split(".", 1)[0] in _PROSE for y in flat if self._prose([y])):
+            return id(items)
+        for y in flat:
+            if y[0] != TEXT and self._prose([y]) > 2 / 3 * self.prose:
+                return self._main(y[4])
+        return id(items)
+
+    def _aside(self, x: list, inside: bool) -> bool:
+        """Whether an element is aside: by its name, or by its class unless the host's pages show that it is not, or as a menu."""
+        name, _, rest = x[0].partition(".")
+        if _named_aside(x[0]) or (name == "header" and not inside):
+            return True
+        if name in ("html", "body", "article", "main"):
+            return False
+        if rest and (_ASIDE_WORD.search(rest) or (not inside and _HEADER_WORD.search(rest))):
+            whole = any(_ASIDE_WORD.fullmatch(w) or _HEADER_WORD.fullmatch(w) for w in re.split(r"[ .]", rest))
+            if (whole or name not in _PROSE) and self._prose(x[4]) <= MOST * self.prose:
+                return True
+        if not inside and name not in _PROSE and name != "a":
+            chars, linked = self._links(x[4])
+            return chars > 0 and linked > LINKS * chars
+        return False
 
-    def _judge(self, items: list, inside: bool, aside: bool) -> dict:
-        """Symbol to (symbols of children, verdict inside a root, verdict without roots)."""
+    def _judge(self, items: list, inside: bool, aside: bool, within: bool, main: int | None, steady: bool) -> dict:
+        """steady: nothing in the block changes; a word that never changes in one that does is part of its sentence."""
+        within = within or id(items) == main
         out: dict = {}
-        for s, optional, repeated, value, children, chars, linked in items:
-            if s == TEXT:
-                steady = value is not None and not optional and not repeated and self.pages >= STEADY
-                mine = [{}, inside and not aside, not aside and not steady and 2 * linked <= chars]
-                if TEXT in out:
-                    mine[2] |= out[TEXT][2]
-                out[TEXT] = mine
-            elif s.startswith("("):
-                _joined(out, self._judge(children, inside, aside))
+        for x in items:
+            if x[0] == TEXT:
+                good = not aside and not steady
+                _joined(out, {TEXT: [{}, good and inside, good and within]})
+            elif x[0].startswith("("):
+                _joined(out, self._judge(x[4], inside, aside, within, main, steady))
             else:
-                root = inside or _is_root(s)
-                _joined(out, {s: [self._judge(children, root, aside or _is_aside(s, root)), False, False]})
+                root = inside or _is_root(x[0])
+                alike = _all_steady(x[4]) if x[0].split(".", 1)[0] in BLOCK else steady
+                _joined(out, {x[0]: [self._judge(x[4], root, aside or self._aside(x, root), within, main, alike), False, False]})
         return out
 
     def text(self, children: list) -> str:
-        """The texts of the slots that count, in page order."""
-        by_root = self.rooted and _page_has_root(children)
-        parts: list[str] = []
-        self._read(children, self.top, 1 if by_root else 2, parts, False, False)
-        return " ".join("".join(parts).split())
-
-    def _read(self, children: list, slots: dict, verdict: int, parts: list[str], inside: bool, aside: bool) -> None:
+        """The texts of the slots that count, in page order: those in a root, or on a page that has none of these the main ones."""
+        for verdict in (1, 2):
+            parts: list[str] = []
+            self._read(children, self.top, verdict, parts)
+            if got := " ".join("".join(parts).split()):
+                return got
+        return ""
+
+    def _read(self, children: list, slots: dict, verdict: int, parts: list[str]) -> None:
         for c in children:
             if isinstance(c, str):
-                slot = slots.get(TEXT)
-                if slot[verdict] if slot else not aside and (inside or verdict == 2):
+                if TEXT in slots and slots[TEXT][verdict]:
                     parts.append(c)
                 continue
-            name = c[0].split(".", 1)[0]
-            block = name in BLOCK
+            block = c[0].split(".", 1)[0] in BLOCK
             if block:
                 parts.append(" ")
-            known = slots.get(c[0])
-            root = inside or _is_root(c[0])
-            self._read(c[1], known[0] if known else {}, verdict, parts, root, aside or _is_aside(c[0], root))
+            if c[0] in slots:
+                self._read(c[1], slots[c[0]][0], verdict, parts)
             if block:
                 parts.append(" ")
 
 
+def _steady(x: list) -> bool:
+    return x[3] is not None and len(x[7]) >= STEADY
+
+
+def _all_steady(items: list) -> bool:
+    """Whether no text of a block changes, those in inner blocks aside."""
+    return all(_steady(x) if x[0] == TEXT else x[0].split(".", 1)[0] in BLOCK or _all_steady(x[4]) for x in items)
+
+
 def _joined(out: dict, more: dict) -> None:
     """Slots of the same symbol under one parent share a verdict, as their places in a repeated group do."""
     for s, (children, a, b) in more.items():
@@ -280,54 +360,71 @@ def _is_root(symbol: str) -> bool:
     return name in ("article", "main") or bool(rest and _ROOT_WORD.search(rest))
 
 
+def _named_aside(symbol: str) -> bool:
+    return symbol.partition(".")[0] in _ASIDE
+
+
 def _is_aside(symbol: str, inside: bool) -> bool:
+    """By the name and class alone."""
     name, _, rest = symbol.partition(".")
     if name in ("html", "body", "article", "main"):
         return False
-    return name in _ASIDE or (name == "header" and not inside) or bool(rest and (_ASIDE_WORD.search(rest) or (not inside and _HEADER_WORD.search(rest))))
+    return name in _ASIDE or (name == "header" and not inside) or bool(rest and _ASIDE_WORD.search(rest))
 
 
-def _page_has_root(children: list) -> bool:
-    return any(not isinstance(c, str) and (_is_root(c[0]) or _page_has_root(c[1])) for c in children)
+def _pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
+    for batch in batches:
+        for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield host_of(url), general(parsed(source), _hash(source or ""))
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON), pages: one row per host. A null or odd url has the host "", a null html is an empty page."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        known: dict[str, list] = {}
-        for batch in batches:
-            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = general(parsed(source))
-                host = known.setdefault(host_of(url), [own, 0])
-                host[1] += 1
-                if host[1] > 1:
-                    host[0] = aligned(host[0], own)
+        known: dict[tuple[str, str], list] = {}
+
+        def sent() -> pa.RecordBatch:
+            parts = [_hash(shape) % 256 for _, shape in known]
+            rows = list(known.values())
+            out = {"host": [h for h, _ in known], "part": pa.array(parts, pa.int32()), "wrapper": [json.dumps(w, ensure_ascii=False) for w, _ in rows], "pages": pa.array([n for _, n in rows], pa.int64())}
+            known.clear()
+            return pa.RecordBatch.from_pydict(out)
+
+        for host, own in _pages_of(batches):
+            key = (host, _shape(own))
+            if key in known:
+                # The same tokens in the same order: texts and counts are summed up, in any order alike.
+                known[key] = [aligned(known[key][0], own), known[key][1] + 1]
+            else:
+                known[key] = [own, 1]
+                if len(known) >= HELD:
+                    yield sent()
         if known:
-            part = TaskContext.get().partitionId() % 16
-            yield pa.RecordBatch.from_pydict(
-                {"host": list(known), "part": pa.array([part] * len(known), pa.int32()), "wrapper": [json.dumps(w, ensure_ascii=False) for w, _ in known.values()], "pages": pa.array([n for _, n in known.values()], pa.int64())}
-            )
+            yield sent()
 
     def joined(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("wrapper").to_pylist(), t.column("pages").to_pylist(), strict=True))
-        whole = json.loads(rows[0][0])
-        for w, _ in rows[1:]:
-            whole = aligned(whole, json.loads(w))
-        return pa.table({"host": [t.column("host")[0].as_py()], "part": pa.array([0], pa.int32()), "wrapper": [json.dumps(whole, ensure_ascii=False)], "pages": pa.array([sum(n for _, n in rows)], pa.int64())})
+        shapes: dict[str, list] = {}
+        for w in map(json.loads, t.column("wrapper").to_pylist()):
+            shape = _shape(w)
+            shapes[shape] = aligned(shapes[shape], w) if shape in shapes else w
+        whole = functools.reduce(aligned, (shapes[k] for k in sorted(shapes)))
+        part = pa.array([t.column("part")[0].as_py() // 16], pa.int32())
+        return pa.table({"host": [t.column("host")[0].as_py()], "part": part, "wrapper": [json.dumps(whole, ensure_ascii=False)], "pages": pa.array([sum(t.column("pages").to_pylist())], pa.int64())})
 
     schema = "host string, part int, wrapper string, pages long"
     parts = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(partial, schema)
-    return parts.groupBy("host", "part").applyInArrow(joined, schema).groupBy("host").applyInArrow(joined, schema).drop("part")
+    for _ in range(2):  # 256 parts of a host, then 16
+        parts = parts.groupBy("host", "part").applyInArrow(joined, schema)
+    return parts.groupBy("host").applyInArrow(joined, schema).drop("part")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, one row per page in any order.
 
-    Null and empty pages have an empty text. Pages with a null url share the host "". Repeated rows give repeated rows. Other
-    columns are not read.
+    Null and empty pages have an empty text. Pages with a null url share the host "". Repeated rows give repeated rows. Elements
+    nested more than DEPTH deep are read as siblings, so any nesting is fine. A text that never changes goes once STEADY different
+    pages of the host have it; on hosts of fewer pages names and classes decide. Other columns are not read.
     """
     from .common import settle
 
@@ -335,21 +432,20 @@ def main_text(pages: DataFrame) -> DataFrame:
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged: dict[tuple[str, str], Judged] = {}
+        judged: dict[str, Judged] = {}
         for batch in batches:
             texts = []
-            for url, source, wrapper, n in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "wrapper", "pages")), strict=True):
-                key = (host_of(url), wrapper)
-                if key not in judged:
+            for source, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+                if wrapper not in judged:
                     if len(judged) >= 256:
                         judged.clear()
-                    judged[key] = Judged(json.loads(wrapper), n)
-                texts.append(judged[key].text(parsed(source)))
+                    judged[wrapper] = Judged(json.loads(wrapper))
+                texts.append(judged[wrapper].text(parsed(source)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     # The same rule as host_of.
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _HOST.pattern, 1))
     asked = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
     given = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
-    matched = asked.join(given, "host").select("page_id", "url", "html", "wrapper", "pages")
+    matched = asked.join(given, "host").select("page_id", "url", "html", "wrapper")
     return matched.mapInArrow(read, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
