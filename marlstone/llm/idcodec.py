@@ -1,15 +1,16 @@
 """Binary output of token ids: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 A block holds up to BLOCK ids and is coded on its own. Per id, the order-2 and order-1 contexts each name the id that last
-followed them, with a confidence of 0 to 3 for how often in a row it did; the order-0 model knows ids by the rank in which
-they first came up in the block. One symbol tells which prediction holds:
-  0 the order-2 id, 1 the order-1 id, 2 to 6 a rank below 16, 128, 1024, 2048 or BLOCK, 7 a new id.
-Two adaptive distributions of that symbol, one by the confidence of either context, are mixed by a weight that follows
-whichever predicted better. Ranks and new ids add plain bits. A carry-propagating range coder (48-bit low, 16-bit words) does
-the arithmetic coding. Blocks are coded side by side, one lane each, so that a step is a few array operations over all lanes;
-everything is integer arithmetic, so any machine decodes alike.
-
-A coded block: magic "MIDC", uint32 number of ids, uint32 crc32 of the ids (little-endian uint32), uint32 number of words, then
+followed them, with a confidence of 0 to 3 for how often in a row it did. One symbol tells which prediction holds:
+  0 the order-2 id, 1 the order-1 id, 2 an id that the block has had already, 3 a new id.
+Two adaptive distributions of that symbol, one by the order-2 confidence and the symbol before, one by both confidences, are mixed
+by a weight that follows whichever predicted better. A known id is then coded by the order-0 model, the adaptive frequencies of
+all ids of the block so far; a new id by adaptive frequencies of its high byte, which start from a fixed slope (low ids are the
+common ones), and 8 plain bits. A carry-propagating range coder (48-bit low, 16-bit words) does the arithmetic coding. Blocks are
+coded side by side, one lane each, so that a step is a few array operations over all lanes; everything is integer arithmetic, so
+any machine decodes alike.
+
+A coded block: magic "MID2", uint32 number of ids, uint32 crc32 of the ids (little-endian uint32), uint32 number of words, then
 the words (little-endian uint16).
 """
 
@@ -20,16 +21,16 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-MAGIC = b"MIDC"
-SLOTS = 1 << 12
-#: Plain bits after each symbol.
-EXTRA = np.array([0, 0, 4, 7, 10, 11, 12, 16], np.uint64)
-_CLASS = np.repeat(np.array([2, 3, 4, 5, 6], np.uint8), [16, 112, 896, 1024, BLOCK - 2048])
+BLOCK = 8192
+MAGIC = b"MID2"
+SLOTS = 1 << 13
+#: Frequencies of a new id's high byte to begin with.
+_HIGH = np.maximum(1, 96 // (1 + np.arange(256))).astype(np.int32)
+_SYMBOLS = 4
 _ONE = 1 << 15
-_TARGET = np.where(np.arange(8)[None, :] > np.arange(8)[:, None], _ONE, 0).astype(np.int32)
-_START = (np.arange(8) * (_ONE // 8)).astype(np.int32)
-_STEP = np.arange(8, dtype=np.int32)
+_TARGET = np.where(np.arange(_SYMBOLS)[None, :] > np.arange(_SYMBOLS)[:, None], _ONE, 0).astype(np.int32)
+_START = (np.arange(_SYMBOLS) * (_ONE // _SYMBOLS)).astype(np.int32)
+_STEP = np.arange(_SYMBOLS, dtype=np.int32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -59,7 +60,7 @@ def _told(slots: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol, plain bits, and the states of both contexts for each id of a block."""
+    """Symbol, rank of first appearance, and the states of both contexts for each id of a block."""
     n = len(ids)
     prev, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     prev[1:], before[2:] = ids[:-1], ids[:-2]
@@ -71,22 +72,23 @@ def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     first_at = first[ids]
     new = first_at == at
     rank = (np.cumsum(new) - new)[first_at]
-    symbol = np.where((state2 > 0) & (guess2 == ids), 0, np.where((state1 > 0) & (guess1 == ids), 1, np.where(new, 7, _CLASS[rank]))).astype(np.int64)
-    return symbol, np.where(new, ids, rank).astype(np.uint64), state2, state1
+    symbol = np.where((state2 > 0) & (guess2 == ids), 0, np.where((state1 > 0) & (guess1 == ids), 1, np.where(new, 3, 2)))
+    return symbol, rank, state2, state1
 
 
 class _Mixer:
     """The two adaptive distributions of each lane and the weight between them."""
 
     def __init__(self, lanes: int) -> None:
-        self.a = np.tile(_START, (lanes * 5, 1))
+        self.a = np.tile(_START, (lanes * 20, 1))
         self.b = np.tile(_START, (lanes * 25, 1))
         self.w = np.full(lanes, _ONE // 2, np.int32)
+        self.last = np.full(lanes, _SYMBOLS - 1)
         self.lane = np.arange(lanes)
-        self.flat = self.lane * 8
+        self.flat = self.lane * _SYMBOLS
 
     def mixed(self, state2: np.ndarray, state1: np.ndarray, n: int) -> np.ndarray:
-        self.ia, self.ib = self.lane[:n] * 5 + state2, self.lane[:n] * 25 + state2 * 5 + state1
+        self.ia, self.ib = self.lane[:n] * 20 + state2 * 4 + self.last[:n], self.lane[:n] * 25 + state2 * 5 + state1
         self.ra, self.rb = self.a.take(self.ia, 0), self.b.take(self.ib, 0)
         w = self.w[:n, None]
         row = (self.rb - self.ra) * 1
@@ -98,14 +100,79 @@ class _Mixer:
         return row
 
     def learn(self, symbol: np.ndarray, n: int) -> None:
-        at, top = self.flat[:n] + symbol, symbol == 7
-        up = np.minimum(at + 1, 8 * n - 1)
+        at, top = self.flat[:n] + symbol, symbol == _SYMBOLS - 1
+        up = np.minimum(at + 1, _SYMBOLS * n - 1)
         ra, rb = self.ra.ravel(), self.rb.ravel()
         pa_, pb = np.where(top, _ONE, ra[up]) - ra[at], np.where(top, _ONE, rb[up]) - rb[at]
         self.w[:n] += (np.where(pb > pa_, _ONE - 1, 0) - self.w[:n]) >> 5
         target = _TARGET.take(symbol, 0)
         self.a[self.ia] = self.ra + ((target - self.ra) >> 5)
         self.b[self.ib] = self.rb + ((target - self.rb) >> 4)
+        self.last[:n] = symbol
+
+
+def _earlier(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, how many earlier ones have a lower rank, and how many the same; bit by bit from the highest."""
+    n, below = len(rank), np.zeros(len(rank), np.int64)
+    short = rank.astype(np.uint16)
+    for bit in range(max(1, int(rank.max(initial=0)).bit_length()) - 1, -1, -1):
+        order = np.argsort(short >> np.uint16(bit + 1), kind="stable")
+        up = (short[order] >> np.uint16(bit) & np.uint16(1)).astype(bool)
+        zeros = np.cumsum(~up)
+        head = np.r_[True, (short[order][1:] ^ short[order][:-1]) >> np.uint16(bit + 1) > 0]
+        first = np.flatnonzero(head)
+        base = (zeros[first] - ~up[first])[np.cumsum(head) - 1]
+        below[order[up]] += (zeros - base)[up]
+    order = np.argsort(short, kind="stable")
+    first = np.flatnonzero(np.r_[True, short[order][1:] != short[order][:-1]])
+    same = np.empty(n, np.int64)
+    same[order] = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+    return below, same
+
+
+class _Counts:
+    """Adaptive frequencies of each lane, with the sums of groups of them level by level; widths are the levels' fan-outs."""
+
+    def __init__(self, lanes: int, widths: tuple[int, ...], start: np.ndarray | None = None) -> None:
+        self.widths, self.lane = widths, np.arange(lanes)
+        self.levels = []
+        for k in range(1, len(widths) + 1):
+            n = int(np.prod(widths[:k]))
+            row = np.zeros(n, np.int32) if start is None else start.reshape(n, -1).sum(1).astype(np.int32)
+            self.levels.append(np.tile(row, (lanes, 1)).reshape(-1, widths[k - 1]))
+
+    def share(self, lanes: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The frequencies of all lower symbols together, and of this one."""
+        below, size, n = np.zeros(len(symbol), np.int64), int(np.prod(self.widths)), 1
+        for w, level in zip(self.widths, self.levels, strict=True):
+            size //= w
+            node = symbol // size
+            rows = level[lanes * n + node // w]
+            below += (rows * (np.arange(w) < (node % w)[:, None])).sum(1)
+            n *= w
+        return below, rows[np.arange(len(symbol)), symbol % w].astype(np.int64)
+
+    def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbol in whose share the target falls, and its share."""
+        node, below, n, at = np.zeros(len(target), np.int64), np.zeros(len(target), np.int64), 1, np.arange(len(target))
+        for w, level in zip(self.widths, self.levels, strict=True):
+            rows = level[lanes * n + node]
+            sums = rows.cumsum(1, dtype=np.int32)
+            k = np.minimum((sums <= (target - below)[:, None]).sum(1), w - 1)
+            own = rows[at, k]
+            below = below + sums[at, k] - own
+            node, n = node * w + k, n * w
+        return node, below, own.astype(np.int64)
+
+    def add(self, lanes: np.ndarray, symbol: np.ndarray, many: int = 1) -> None:
+        size, n = int(np.prod(self.widths)), 1
+        for w, level in zip(self.widths, self.levels, strict=True):
+            size, n = size // w, n * w
+            level.ravel()[lanes * n + symbol // size] += many
+
+
+#: Fan-outs of the frequencies of known ids and of a new id's high byte, and what an occurrence of the latter adds.
+_KNOWN, _NEW, _MORE = (32, 16, 16), (16, 16), 24
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -113,15 +180,17 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     sizes = np.array([len(blocks[k]) for k in order], np.int64)
     lanes, steps = len(blocks), int(sizes.max(initial=0))
-    symbol, extra = np.zeros((steps, lanes), np.uint8), np.zeros((steps, lanes), np.uint16)
+    symbol, share, value = np.zeros((steps, lanes), np.uint8), np.zeros((steps, lanes, 2), np.uint16), np.zeros((steps, lanes), np.uint16)
     state2, state1 = np.zeros((steps, lanes), np.uint8), np.zeros((steps, lanes), np.uint8)
     for j, k in enumerate(order):
         n = len(blocks[k])
-        symbol[:n, j], extra[:n, j], state2[:n, j], state1[:n, j] = _symbols(blocks[k].astype(np.uint32))
+        symbol[:n, j], rank, state2[:n, j], state1[:n, j] = _symbols(blocks[k].astype(np.uint32))
+        share[:n, j, 0], share[:n, j, 1] = _earlier(rank)
+        value[:n, j] = blocks[k]
     out = np.zeros((lanes, 2 * steps + 6), np.uint32)
     words, width, base = out.ravel(), out.shape[1], np.arange(lanes) * out.shape[1]
     low, span, pos = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.int64)
-    mixer = _Mixer(lanes)
+    mixer, fresh, total = _Mixer(lanes), _Counts(lanes, _NEW, _HIGH), np.full(lanes, int(_HIGH.sum()), np.uint64)
     live = lanes - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
 
     def shifted(n: int) -> None:
@@ -139,14 +208,24 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         row = mixer.mixed(state2[t, :n].astype(np.int64), state1[t, :n].astype(np.int64), n).ravel()
         at = mixer.flat[:n] + s
         lo = row[at]
-        hi = np.where(s == 7, _ONE, row[np.minimum(at + 1, 8 * n - 1)])
+        hi = np.where(s == _SYMBOLS - 1, _ONE, row[np.minimum(at + 1, _SYMBOLS * n - 1)])
         unit = span[:n] >> np.uint64(15)
         low[:n] += unit * lo.astype(np.uint64)
         span[:n] = unit * (hi - lo).astype(np.uint64)
         shifted(n)
-        bits = EXTRA[s]
-        span[:n] >>= bits
-        low[:n] += np.where(bits > 0, span[:n] * extra[t, :n].astype(np.uint64), 0)
+        known, new = np.flatnonzero(s == 2), np.flatnonzero(s == 3)
+        if len(known):
+            unit = span[known] // np.uint64(t)
+            low[known] += unit * share[t, known, 0]
+            span[known] = unit * share[t, known, 1]
+        if len(new):
+            ids_ = value[t, new].astype(np.int64)
+            below, many = fresh.share(new, ids_ >> 8)
+            unit = span[new] // total[new]
+            span[new] = unit * many.astype(np.uint64) >> np.uint64(8)
+            low[new] += unit * below.astype(np.uint64) + span[new] * (ids_ & 255).astype(np.uint64)
+            fresh.add(new, ids_ >> 8, _MORE)
+            total[new] += np.uint64(_MORE)
         shifted(n)
         mixer.learn(s, n)
     for shift in (32, 16, 0):
@@ -182,14 +261,15 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     words, base = read.ravel(), np.arange(lanes) * width
     code = (read[:, 0].astype(np.uint64) << np.uint64(32)) | (read[:, 1].astype(np.uint64) << np.uint64(16)) | read[:, 2].astype(np.uint64)
     span, pos = np.full(lanes, 1 << 48, np.uint64), np.full(lanes, 3, np.int64)
-    mixer = _Mixer(lanes)
+    mixer, seen = _Mixer(lanes), _Counts(lanes, _KNOWN)
+    fresh, total = _Counts(lanes, _NEW, _HIGH), np.full(lanes, int(_HIGH.sum()), np.uint64)
     ids = np.zeros((steps, lanes), np.uint16)
     known, n_known = np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes, np.int64)
     next2, next1 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
+    rank2, rank1 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
     prev, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     live = lanes - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
     lane = np.arange(lanes)
-    top16 = np.uint64(0xFFFF)
 
     def shifted(n: int) -> None:
         k = np.flatnonzero(span[:n] <= _LOW32)
@@ -209,24 +289,37 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         flat = row.ravel()
         at = mixer.flat[:n] + s
         lo = flat[at]
-        hi = np.where(s == 7, _ONE, flat[np.minimum(at + 1, 8 * n - 1)])
+        hi = np.where(s == _SYMBOLS - 1, _ONE, flat[np.minimum(at + 1, _SYMBOLS * n - 1)])
         code[:n] -= unit * lo.astype(np.uint64)
         span[:n] = unit * (hi - lo).astype(np.uint64)
         shifted(n)
-        bits = EXTRA[s]
-        span[:n] >>= bits
-        plain = np.where(bits > 0, np.minimum(code[:n] // span[:n], top16), 0).astype(np.uint64)
-        code[:n] -= plain * span[:n]
+        old, new = np.flatnonzero(s == 2), np.flatnonzero(s == 3)
+        got = np.where(s == 0, told2, told1) & np.uint32(0xFFFF)
+        r = np.where(s == 0, rank2[at2], rank1[at1]).astype(np.int64)
+        if len(old):
+            unit = span[old] // np.uint64(t)
+            r[old], below, many = seen.find(old, np.minimum(code[old] // unit, np.uint64(t - 1)).astype(np.int64))
+            code[old] -= unit * below.astype(np.uint64)
+            span[old] = unit * many.astype(np.uint64)
+            got[old] = known[old * BLOCK + r[old]]
+        if len(new):
+            unit = span[new] // total[new]
+            high, below, many = fresh.find(new, np.minimum(code[new] // unit, total[new] - np.uint64(1)).astype(np.int64))
+            code[new] -= unit * below.astype(np.uint64)
+            span[new] = unit * many.astype(np.uint64) >> np.uint64(8)
+            plain = np.minimum(code[new] // span[new], np.uint64(255))
+            code[new] -= plain * span[new]
+            fresh.add(new, high, _MORE)
+            total[new] += np.uint64(_MORE)
+            r[new] = n_known[new]
+            got[new] = (high << 8) + plain.astype(np.int64)
+            known[new * BLOCK + np.minimum(r[new], BLOCK - 1)] = got[new]
+            n_known[new] += 1
         shifted(n)
         mixer.learn(s, n)
-        new = s == 7
-        value = plain.astype(np.int64)
-        got = known[lane[:n] * BLOCK + np.minimum(value, BLOCK - 1)].astype(np.uint32)
-        got = np.where(new, value.astype(np.uint32), np.where(s == 0, told2 & np.uint32(0xFFFF), np.where(s == 1, told1 & np.uint32(0xFFFF), got)))
-        k = np.flatnonzero(new)
-        if len(k):
-            known[k * BLOCK + n_known[k]] = got[k]
-            n_known[k] += 1
+        r = np.minimum(r, BLOCK - 1)
+        seen.add(lane[:n], r)
+        rank2[at2], rank1[at1] = r, r
         for slots, where, told in ((next2, at2, told2), (next1, at1, told1)):
             state = told >> np.uint32(16)
             state = np.where((state > 0) & (told & np.uint32(0xFFFF) == got), np.minimum(state + 1, 4), 1).astype(np.uint32)

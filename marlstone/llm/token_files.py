@@ -22,7 +22,7 @@ from .tokens import slices_by_size, tokenizer, with_end
 #: Ids after which a segment ends, at a document's end; a longer document is one segment.
 SEGMENT = 8 << 20
 #: Blocks coded side by side at most.
-LANES = 2048
+LANES = 1024
 SCHEMA = "part long, start long, index binary, blocks array<binary>"
 
 
