@@ -10,7 +10,7 @@ common ones), and 8 plain bits. A carry-propagating range coder (48-bit low, 16-
 coded side by side, one lane each, so that a step is a few array operations over all lanes; everything is integer arithmetic, so
 any machine decodes alike.
 
-A coded block: magic "MID2", uint32 number of ids, uint32 crc32 of the ids (little-endian uint32), uint32 number of words, then
+A coded block: magic "MIDC", uint32 number of ids, uint32 crc32 of the ids (little-endian uint32), uint32 number of words, then
 the words (little-endian uint16).
 """
 
@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 
 BLOCK = 8192
-MAGIC = b"MID2"
+MAGIC = b"MIDC"
 SLOTS = 1 << 13
 #: Frequencies of a new id's high byte to begin with.
 _HIGH = np.maximum(1, 96 // (1 + np.arange(256))).astype(np.int32)
