@@ -67,6 +67,9 @@ BRANCHES = (
     r"\bexcept\b", r"\brescue\b", r"&&", r"\|\|", r"\band\b", r"\bor\b", r"\?[^:]",
 )
 
+# Those of them whose matches may share characters with another's.
+SHARING_BRANCHES = (r"\belse\s+if\b", r"\?[^:]")
+
 # Types with the full and with the lower base score.
 HIGH_TYPES = ("function", "method", "class", "module", "variable")
 SECOND_TYPES = ("import", "comment")

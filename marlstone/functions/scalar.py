@@ -139,8 +139,14 @@ def element_type(kind: Column) -> Column:
 
 
 def cyclomatic(text: Column) -> Column:
-    """1 and all matches of the branch patterns; `else if` counts for itself and for its `if`."""
-    return reduce(Column.__add__, [F.regexp_count(text, F.lit("(?i)" + p)) for p in fixed.BRANCHES], F.lit(1))
+    """1 and all matches of the branch patterns; `else if` counts for itself and for its `if`.
+
+    Matches of one pattern never share a character with those of another, but for the two that are counted on their own, so all
+    others are one pattern and one pass over the text.
+    """
+    alone = [p for p in fixed.BRANCHES if p in fixed.SHARING_BRANCHES]
+    rest = "|".join(p for p in fixed.BRANCHES if p not in alone)
+    return reduce(Column.__add__, [F.regexp_count(text, F.lit("(?i)" + p)) for p in (rest, *alone)], F.lit(1))
 
 
 def complexity_score(text: Column, line_start: Column, line_end: Column, cyclo: Column | None = None) -> Column:
@@ -210,8 +216,14 @@ def request_tokens(text: Column, n: Column) -> Column:
 
 
 def found_json(text: Column) -> Column:
-    """JSON in an answer: the whole, a fenced block, or from the first to the last brace; null where none parses."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    tried = [F.try_parse_json(F.nullif(x, F.lit(""))) for x in (text, fenced, braces)]
-    return F.to_json(F.coalesce(*tried))
+    """JSON in an answer: the whole, the first fenced block that parses, or from the first to the last brace; null where none parses."""
+    parsed = lambda x: F.try_parse_json(F.nullif(F.trim(x), F.lit("")))
+    fenced = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)\n?```"), F.lit(1)), lambda x: F.to_json(parsed(x)))
+    first = F.get(F.filter(fenced, lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(F.to_json(parsed(text)), first, F.to_json(parsed(F.regexp_extract(text, r"(?s)\{.*\}", 0))))
+
+
+def lacking_keys(json: Column, keys: list[str]) -> Column:
+    """Those of the keys that a JSON object does not have, in their order; all of them where it is none."""
+    have = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    return F.array_except(F.array(*[F.lit(k) for k in keys]), have)

@@ -195,3 +195,28 @@ def chunk_records(parts: DataFrame, domain: str = "generic") -> DataFrame:
         "line_end",
         heading.alias("extra"),
     )
+
+
+_RECORD = "chunk_id string, domain string, path string, file_path string, type string, text string, start int, `end` int, metadata struct<language:string,line_start:int,line_end:int,depth:int,semantic_role:string,visibility:string>"
+
+
+def record_json(chunks: DataFrame) -> DataFrame:
+    """chunk_id, json of chunks (chunk_id, domain, path, type, text, start, stop, language, depth, line_start, line_end); nulls are left out."""
+    more = F.struct("language", "line_start", "line_end", "depth")
+    return chunks.select("chunk_id", F.to_json(F.struct("chunk_id", "domain", "path", "type", "text", "start", F.col("stop").alias("end"), more.alias("metadata"))).alias("json"))
+
+
+def records_of_json(rows: DataFrame) -> DataFrame:
+    """Chunks of JSON records (json): file_path stands in for path; domain, type, places and depth have defaults; an id and a text must be there."""
+    r = rows.select(F.from_json("json", _RECORD).alias("r")).where("r.chunk_id IS NOT NULL AND r.text IS NOT NULL")
+    other = lambda c, d: F.coalesce(F.col(f"r.{c}"), F.lit(d))
+    return r.select(
+        "r.chunk_id", other("domain", "generic").alias("domain"), F.coalesce("r.path", "r.file_path", F.lit("")).alias("path"), other("type", "text").alias("type"), "r.text", other("start", 0).alias("start"), other("end", 0).alias("stop"),
+        "r.metadata.language", other("metadata.depth", 0).alias("depth"), "r.metadata.line_start", "r.metadata.line_end",
+    )
+
+
+def ids_per_path(chunks: DataFrame) -> DataFrame:
+    """path, domain, first, chunk_ids of chunks (chunk_seq, chunk_id, path, domain): ids in order, the domain of the first one."""
+    rows = F.array_sort(F.collect_list(F.struct("chunk_seq", "chunk_id", "domain")))
+    return chunks.groupBy("path").agg(rows.alias("r")).select("path", F.get("r", F.lit(0))["domain"].alias("domain"), F.get("r", F.lit(0))["chunk_seq"].alias("first"), F.transform("r", lambda x: x["chunk_id"]).alias("chunk_ids"))

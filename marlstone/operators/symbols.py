@@ -153,7 +153,7 @@ def ts_symbols(source: str) -> list[dict]:
     """Function declarations, classes with their methods, interfaces; arrow functions are not symbols."""
     code, out = _blanked(source), []
 
-    def function(name: str, kind: str, start: int, after: int, limit: int, parent: str | None, marks: list[str]) -> int:
+    def function(name: str, kind: str, start: int, after: int, limit: int, parent: str | None) -> int:
         par = code.find("(", after)
         close = _closing(code, par, "()")
         head = re.compile(r"\s*(?::\s*(?P<ret>[^{;=]+))?\s*(?=\{|;|\n|$)").match(code, close)
@@ -163,18 +163,18 @@ def ts_symbols(source: str) -> list[dict]:
         end = min(_closing(code, body, "{}"), limit)
         listed = []
         for p in _split_list(source[par + 1 : close - 1]):
-            n, _, t = p.partition(":")
-            t, _, value = t.partition("=") if t else ("", "", "")
-            listed.append({"name": n.strip().split("=")[0].strip().rstrip("?"), "type_annotation": t.strip() or None, "default_value": value.strip() or None})
+            n, _, value = p.partition("=") if not re.match(r"[^=]*:[^=]*=>", p) else (p, "", "")
+            n, _, t = n.partition(":")
+            listed.append({"name": n.strip().rstrip("?"), "type_annotation": t.strip() or None, "default_value": value.strip() or None})
         returns = source[head.start("ret") : head.end("ret")].strip() if head and head["ret"] else None
         first, last = source.count("\n", 0, start) + 1, source.count("\n", 0, end - 1) + 1
-        out.append(_symbol(name, kind, "public", first, last, source[start:end], parent, None, listed, returns, marks))
+        out.append(_symbol(name, kind, "public", first, last, source[start:end], parent, None, listed, returns, []))
         return end
 
     at = 0
     while m := _TS.search(code, at):
         if m["fn"]:
-            at = function(m["fn"], "function", m.start(), m.end(), len(code), None, ["async"] if m["async"] else [])
+            at = function(m["fn"], "function", m.start(), m.end(), len(code), None)
             continue
         body = code.find("{", m.end())
         end = _closing(code, body, "{}") if body >= 0 else len(code)
@@ -185,7 +185,7 @@ def ts_symbols(source: str) -> list[dict]:
             if x["name"] in ("if", "for", "while", "switch", "catch", "return", "function"):
                 inner = x.end() + 1
                 continue
-            inner = max(x.end() + 1, function(x["name"], "method", x.start("mods") if x["mods"] else x.start("name"), x.end(), end, m["cls"], x["mods"].split()))
+            inner = max(x.end() + 1, function(x["name"], "method", x.start("mods") if x["mods"] else x.start("name"), x.end(), end, m["cls"]))
         at = max(end, m.end())
     return out
 
@@ -212,12 +212,19 @@ def symbols(files: DataFrame) -> DataFrame:
 
 
 def chunk_files(files: DataFrame, size: int = 240) -> DataFrame:
-    """chunk_id, path, type, text, start, stop, symbol_name, visibility: symbols (start and stop are lines), else fixed windows."""
+    """chunk_id, path, type, text, start, stop, symbol_name, visibility, metadata: symbols (start and stop are lines), else fixed windows.
+
+    metadata is what is known of a symbol, its kind as its role; null for windows.
+    """
     found = symbols(files)
+    known = F.struct(
+        F.col("name").alias("symbol_name"), "qualified_name", F.col("kind").alias("symbol_kind"), "visibility", "line_start", "line_end", F.col("parent").alias("parent_name"), "parameters", "return_type", "modifiers", "doc_comment",
+        F.col("kind").alias("semantic_role"),
+    )
     by_symbol = found.select(
         F.concat_ws("::", "path", "qualified_name").alias("chunk_id"), "path", S.kind_type(F.col("kind")).alias("type"), "text", F.col("line_start").alias("start"), F.col("line_end").alias("stop"),
-        F.col("name").alias("symbol_name"), "visibility",
+        F.col("name").alias("symbol_name"), "visibility", known.alias("metadata"),
     )
     rest = fixed_windows(files.join(found.select("path").distinct(), "path", "left_anti"), size)
-    windows = rest.select(S.text_chunk_id(F.col("path"), F.col("seq")).alias("chunk_id"), "path", F.lit("text").alias("type"), "text", "start", "stop", F.lit(None).cast("string").alias("symbol_name"), F.lit(None).cast("string").alias("visibility"))
+    windows = rest.select(S.text_chunk_id(F.col("path"), F.col("seq")).alias("chunk_id"), "path", F.lit("text").alias("type"), "text", "start", "stop", F.lit(None).cast("string").alias("symbol_name"), F.lit(None).cast("string").alias("visibility"), F.lit(None).cast(by_symbol.schema["metadata"].dataType).alias("metadata"))
     return by_symbol.unionByName(windows)

@@ -35,11 +35,26 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, prompt string")
 
 
-def symbol_info(name: Column, qualified: Column, kind: Column, visibility: Column, returns: Column, parent: Column, doc: Column) -> Column:
-    """Lines on a symbol, those without a value left out; empty without a name."""
-    line = lambda label, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"**{label}:** "), c))
-    lines = F.concat_ws("\n", F.lit("\n=== CODE SYMBOL METADATA ==="), line("Name", name), line("Qualified Name", qualified), line("Kind", kind), line("Visibility", visibility), line("Returns", returns), line("Parent", parent), line("Existing Doc Comment", doc), F.lit("=== END SYMBOL METADATA ===\n"))
-    return F.when(name.isNull() | (name == ""), "").otherwise(lines)
+def symbol_info(m: Column) -> Column:
+    """Lines on a symbol's metadata (see operators.symbols.chunk_files), those without a value left out; empty without a name."""
+    some = lambda c: c.isNotNull() & (c != "")
+    line = lambda label, c: F.when(some(c), F.concat(F.lit(f"**{label}:** "), c))
+    listed = F.transform(
+        m["parameters"],
+        lambda p: F.concat(F.lit("  - "), p["name"], F.when(some(p["type_annotation"]), F.concat(F.lit(": "), p["type_annotation"])).otherwise(""), F.when(some(p["default_value"]), F.concat(F.lit(" = "), p["default_value"])).otherwise("")),
+    )
+    has = F.coalesce(F.size(m["parameters"]) > 0, F.lit(False))
+    signature = F.when(
+        has | some(m["return_type"]),
+        F.concat_ws("\n", F.lit("\n**Signature:**"), F.when(has, F.concat_ws("\n", F.lit("Parameters:"), F.array_join(listed, "\n"))), F.when(some(m["return_type"]), F.concat(F.lit("Returns: "), m["return_type"]))),
+    )
+    place = F.when((m["line_start"] > 0) & (m["line_end"] > 0), F.concat(F.lit("Lines "), m["line_start"].cast("string"), F.lit("-"), m["line_end"].cast("string")))
+    doc = F.when(some(m["doc_comment"]), F.concat(F.lit("\n**Existing Doc Comment:**\n```\n"), m["doc_comment"], F.lit("\n```")))
+    lines = F.concat_ws(
+        "\n", F.lit("\n=== CODE SYMBOL METADATA ==="), line("Name", m["symbol_name"]), line("Qualified Name", m["qualified_name"]), line("Kind", m["symbol_kind"]), line("Visibility", m["visibility"]), line("Location", place), signature,
+        line("Modifiers", F.array_join(m["modifiers"], ", ")), line("Parent", m["parent_name"]), doc, F.lit("=== END SYMBOL METADATA ===\n"),
+    )
+    return F.when(some(m["symbol_name"]), lines).otherwise("")
 
 
 def prompts(chunks: DataFrame, context: DataFrame | None = None, max_tokens: int = 800) -> DataFrame:
@@ -74,6 +89,43 @@ def generated(asked: DataFrame, generator: Generator, workers: int = 8, retry: b
     return asked.repartition(workers).mapInArrow(run, schema)
 
 
+def batched(chunks: DataFrame, generator: Generator, size: int = 15, workers: int = 8, max_tokens: int = 400) -> DataFrame:
+    """symbol_id, answer, success, attempt of chunks (symbol_id, source, text): many symbols a request, validated, the missing ones again alone.
+
+    A request holds `size` consecutive symbols of a source. Its answer is {"symbols": [{"symbol_id": ..., ...}]}; entries of ids
+    that were not asked for do not count. Symbols without an entry are asked for one by one, with their texts cut once more.
+    """
+    rows = batching.numbered_batches(chunks.withColumn("text", S.truncated(F.col("text"), max_tokens)), size, "symbol_id", ["source"])
+    entry = F.concat(F.lit("symbol_id: "), F.col("symbol_id").cast("string"), F.lit("\n"), F.col("text"))
+    texts = batching.batch_texts(rows.withColumn("entry", entry), ["source", "batch"], "symbol_id", "entry")
+    asked = texts.select(F.xxhash64("source", "batch").alias("chunk_seq"), F.col("batch_text").alias("prompt"))
+    told = _entries(generated(asked, generator, workers, retry=False))
+    first = batching.matched(rows.select("symbol_id", "text"), told.join(rows.select("symbol_id"), "symbol_id", "left_semi")).withColumn("attempt", F.lit(1))
+    lost = batching.retry_set(rows.select("symbol_id", "text"), first.where("NOT success"))
+    again = _entries(generated(lost.select(F.col("symbol_id").alias("chunk_seq"), F.concat(F.lit("symbol_id: "), F.col("symbol_id").cast("string"), F.lit("\n"), F.col("text")).alias("prompt")), generator, workers, retry=False))
+    second = batching.matched(lost, again).withColumn("attempt", F.lit(2))
+    return first.where("success").unionByName(second).select("symbol_id", "answer", "success", "attempt")
+
+
+def _entries(results: DataFrame) -> DataFrame:
+    """symbol_id, seq, answer (JSON) of each entry of the answers that succeeded."""
+    listed = F.from_json(F.get_json_object(S.found_json(F.col("text")), "$.symbols"), "array<map<string,string>>")
+    each = results.where("success").select(F.posexplode(listed).alias("seq", "e"))
+    return each.select(F.expr("try_cast(e['symbol_id'] AS BIGINT)").alias("symbol_id"), "seq", F.to_json("e").alias("answer")).where("symbol_id IS NOT NULL")
+
+
+def failures(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """path, error of failed results (chunk_seq, success, error) whose chunk (chunk_seq, path) is known."""
+    return results.where("NOT success").join(chunks.select("chunk_seq", "path"), "chunk_seq").select("path", "error")
+
+
+def run_statistics(files: DataFrame, chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: total_files, total_chunks, doc_worthy_chunks, doc_worthy_percent (chunks have doc_worthy), llm_docs_generated."""
+    n = files.agg(F.count("*").alias("total_files"))
+    c = chunks.agg(F.count("*").alias("total_chunks"), F.count_if("doc_worthy").alias("doc_worthy_chunks"), F.round(100.0 * F.count_if("doc_worthy") / F.nullif(F.count("*"), F.lit(0)), 1).alias("doc_worthy_percent"))
+    return n.join(F.broadcast(c)).join(F.broadcast(results.agg(F.count_if("success").alias("llm_docs_generated"))))  # one row each
+
+
 def documentation(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """symbol_id, summary, description of successful results, joined to their chunks."""
     answer = F.from_json(S.found_json(F.col("answer")), "summary string, description string")

@@ -30,6 +30,13 @@ def hashing_model(dims: int) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def resolved(model: str | None = None, preset: str | None = None, default: str | None = None) -> str:
+    """The preset if it is known, else the model (by name or preset), else the default, else the fast preset."""
+    if preset in EMBEDDING_DIMS:
+        return preset
+    return model or default or "fast"
+
+
 def dimensions(preset: str) -> int:
     return EMBEDDING_DIMS[preset]
 

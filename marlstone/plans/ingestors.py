@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +38,7 @@ class CodeIngestor:
 
     def chunks(self, files: DataFrame) -> DataFrame:
         rows = symbol_ops.chunk_files(decoded(files), self.size)
-        return rows.withColumns({"domain": F.lit("code"), "language": S.language(F.col("path")), "depth": F.lit(0), "role": S.infer_role(F.col("text")), "line_start": F.when(F.col("symbol_name").isNotNull(), F.col("start")), "line_end": F.when(F.col("symbol_name").isNotNull(), F.col("stop"))})
+        return rows.withColumns({"domain": F.lit("code"), "language": S.language(F.col("path")), "depth": F.lit(0), "role": F.coalesce("metadata.semantic_role", S.infer_role(F.col("text"))), "line_start": F.when(F.col("symbol_name").isNotNull(), F.col("start")), "line_end": F.when(F.col("symbol_name").isNotNull(), F.col("stop"))})
 
 
 class TextIngestor:
@@ -51,7 +52,7 @@ class TextIngestor:
 
     def chunks(self, files: DataFrame) -> DataFrame:
         rows = chunkers.chunk_records(chunkers.text_chunks(decoded(files), self.size, self.least))
-        return rows.withColumns({"symbol_name": F.lit(None).cast("string"), "visibility": F.lit(None).cast("string"), "role": F.lit(None).cast("string")}).drop("extra")
+        return rows.withColumns({"symbol_name": F.lit(None).cast("string"), "visibility": F.lit(None).cast("string"), "role": F.lit(None).cast("string"), "metadata": F.lit(None).cast("string")}).drop("extra")
 
 
 class Registry:
@@ -79,12 +80,31 @@ class Registry:
         return [i.name for i in sorted(self.known.values(), key=lambda i: -i.priority)]
 
     def select(self, files: DataFrame, forced: str | None = None) -> Ingestor:
-        """The forced one if known; else one aggregate over the files answers all detectors at once."""
+        """The forced one if known, else (with a warning) as without; one aggregate over the files answers all detectors at once.
+
+        A detector that fails is left out: if the aggregate of all fails, each is tried on its own.
+        """
         if forced in self.known:
             return self.known[forced]
-        found = files.agg(*[i.detect().alias(n) for n, i in self.known.items()]).first() if self.known else {}
+        if forced is not None:
+            warnings.warn(f"no ingestor is called {forced}; one is selected by the files", stacklevel=2)
+        asked: dict[str, Column] = {}
+        for name, i in self.known.items():
+            try:
+                asked[name] = i.detect().alias(name)
+            except Exception as e:  # noqa: BLE001  a detector's own fault
+                warnings.warn(f"the detector of {name} failed: {e}", stacklevel=2)
+        found: dict[str, bool] = {}
+        try:
+            found = files.agg(*asked.values()).first().asDict() if asked else {}
+        except Exception:  # noqa: BLE001  one of them fails when it runs
+            for name, c in asked.items():
+                try:
+                    found[name] = files.agg(c).first()[0]
+                except Exception as e:  # noqa: BLE001
+                    warnings.warn(f"the detector of {name} failed: {e}", stacklevel=2)
         for name in self.names():
-            if found[name]:
+            if found.get(name):
                 return self.known[name]
         if self.fallback:
             return self.known[self.fallback]

@@ -560,8 +560,12 @@ def stream_budget(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import plan_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import plan_queries  # noqa: F401
+
     return dict(_ORACLES)

@@ -30,8 +30,12 @@ def walked(path: Column) -> Column:
 def read_directory(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content, size of a directory's files, or of one file by its name. The size test reaches the listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= MOST_BYTES)
-    base = root.rstrip("/").split("://")[-1]
-    rel = F.when(F.endswith("path", F.lit("/" + base.rsplit("/", 1)[-1])), S.basename(F.col("path"))).otherwise(F.substring_index("path", base + "/", -1))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = system.makeQualified(hadoop)
+    # The listing gives whole paths; what stands before the relative one is the root's own, whatever names it holds.
+    base = len(whole.toString().rstrip("/")) + 2
+    rel = S.basename(F.col("path")) if system.getFileStatus(whole).isFile() else F.substring(F.col("path"), F.lit(base), F.length("path"))
     rows = files.select(rel.alias("path"), "content", F.col("length").alias("size"))
     return rows.where(wanted(F.col("path"), F.col("size")))
 
@@ -102,6 +106,20 @@ def tree(files: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
+def write_ingest(df: DataFrame, folder: str) -> str:
+    """The rows as JSON lines in a folder, one file per partition, nulls left out: the sink of an ingest run."""
+    df.write.mode("overwrite").json(folder)
+    return folder
+
+
+def read_ingest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of an ingest run; an error that names the folder where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(f"no ingest output in {folder}")
+    return spark.read.schema(schema).json(folder)
+
+
 def tree_order() -> list[Column]:
     return [F.col("parent_path"), F.col("type") == "file", F.col("name")]
 
