@@ -424,13 +424,26 @@ def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity:
         if held:
             yield out(np.unique(np.concatenate(held), axis=0))
 
-    def candidates(tied: DataFrame, nearest: bool) -> DataFrame:
-        told = met.join(sizes.select("node", "n", "sig"), "node").join(tied, "node", "left").select("k", "node", "place", "n", F.coalesce("component", "node").alias("component"), "sig")
-        return settle(told.repartition("k").mapInArrow(lambda batches: pair(batches, nearest), "a long, b long").distinct(), "candidates")
-
-    links_so_far = sure
-    for nearest in (True, True, False):
-        pairs = candidates(tied, nearest)
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got).combine_chunks()
+        _, which = np.unique(rows.column("k").to_numpy(), return_inverse=True)
+        owner = rows.column("component").to_numpy()
+        low, high = np.full(which.max() + 1, np.iinfo(np.int64).max), np.full(which.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(low, which, owner)
+        np.maximum.at(high, which, owner)
+        yield from rows.filter(pa.array((low < high)[which])).to_batches(max_chunksize=STEP)
+
+    links_so_far, open_ = sure, met.select("k", "node", "place")
+    for nearest in (True, False):
+        # Only groups of which not all nodes are tied are gone on with; signatures travel for these alone.
+        owned = open_.join(tied, "node", "left").select("k", "node", "place", F.coalesce("component", "node").alias("component"))
+        left = settle(owned.repartition("k").mapInArrow(mixed, "k long, node long, place int, component long"), "open-groups", "zstd")
+        told = left.join(sizes.select("node", "n", "sig"), "node").select("k", "node", "place", "n", "component", "sig")
+        pairs = settle(told.repartition("k").mapInArrow(lambda batches, nearest=nearest: pair(batches, nearest), "a long, b long").distinct(), "candidates")
+        open_ = left.drop("component")
         good = settle(_alike(pairs, texts(pairs), shingle, similarity), "links")
         links_so_far = links_so_far.unionByName(good)
         if nearest:
