@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -66,7 +67,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import backoff_scores
 
-    return backoff_scores(table(spark, sf_dir, "documents"), order=3, backoff=0.4)
+    scores = backoff_scores(table(spark, sf_dir, "documents"), order=3, backoff=0.4)
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality_rules, warc
+    from . import lm_scoring, quality_rules, warc
 
-    return {"op2_quality_rules": quality_rules.ORACLE, "op6_warc_fixity": warc.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op6_warc_fixity": warc.ORACLE, "op9_lm_scoring": lm_scoring.ORACLE}
