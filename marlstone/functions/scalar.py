@@ -12,13 +12,9 @@ from . import fixed
 MARKER = "\n... [truncated] ...\n"
 
 
-def _flat(table: dict[str, str]) -> dict[str, str]:
-    return {key: name for name, keys in table.items() for key in keys.split()}
-
-
 def lookup(table: dict[str, str], key: Column, default: str | None = None) -> Column:
-    """The name whose keys hold `key`."""
-    pairs = [F.lit(x) for kv in _flat(table).items() for x in kv]
+    """What the table holds for `key`."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
     found = F.try_element_at(F.create_map(*pairs), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 

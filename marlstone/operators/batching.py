@@ -13,8 +13,7 @@ FALLBACK_MODEL = "gpt-5-nano"
 
 def prices(spark: SparkSession) -> DataFrame:
     """model, input, cached_input, output in USD for 10^6 tokens; null where there is no price."""
-    rows = [[x[0], *(None if v == "-" else float(v) for v in x[1:])] for x in (line.split() for line in fixed.PRICES.strip().split("\n"))]
-    return spark.createDataFrame(rows, "model string, input double, cached_input double, output double")
+    return spark.createDataFrame([(model, *usd) for model, usd in fixed.PRICES.items()], "model string, input double, cached_input double, output double")
 
 
 def costs(usage: DataFrame, discount: float = 0.0) -> DataFrame:
