@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .order import sums_before
 
 PARTS = "path string, seq int, kind string, text string, start int, stop int, heading string, heading_level int, line_start int, line_end int"
 
@@ -26,71 +28,53 @@ def fixed_windows(files: DataFrame, size: int = 240) -> DataFrame:
 def numbered(chunks: DataFrame) -> DataFrame:
     """chunks with chunk_seq, their place by (path, start) over all files: counts per path, summed over the paths before."""
     per_path = chunks.groupBy("path").agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("path").orderBy("start")) - 1
-    return chunks.withColumn("own", own).join(per_path.select("path", first.alias("before")), "path").withColumn("chunk_seq", F.col("before") + F.col("own")).drop("own", "before")
+    return chunks.withColumn("own", own).join(sums_before(per_path, "path", "n"), "path").withColumn("chunk_seq", F.col("before") + F.col("own")).drop("own", "before")
 
 
 def sentences(text: str) -> list[str]:
     return re.split(r"(?<=[.!?])\s+", text)
 
 
-def _filled(parts: list[str], size: int) -> Iterator[tuple[bool, str]]:
-    """Parts joined by spaces while they fit, each with a space of its own; (False, part) for a part that alone is too long."""
-    held: list[str] = []
-    n = 0
-    for p in parts:
-        if held and (len(p) > size or n + len(p) + 1 > size):
-            yield True, " ".join(held)
-            held, n = [], 0
-        if len(p) > size:
-            yield False, p
-        else:
-            held.append(p)
-            n += len(p) + 1
-    if held:
-        yield True, " ".join(held)
+def runs(parts: list[str], size: int, gap: int, light: bool = False) -> Iterator[tuple[int, int]]:
+    """(a, b) of consecutive parts whose lengths, each with a gap, add up to `size` at most; a part that is too long stands alone.
+
+    With light, a part that found no room in the run before it counts without its gap.
+    """
+    a = n = 0
+    for k, part in enumerate(parts):
+        if k > a and n + len(part) + gap > size:
+            yield a, k
+            a, n = k, -gap if light and len(parts[k - 1]) <= size else 0
+        n += len(part) + gap
+    if parts:
+        yield a, len(parts)
 
 
 def long_text(text: str, size: int) -> list[str]:
     """Pieces of at most `size` characters by sentences, or by words where a sentence is longer; one long word stays whole."""
     out: list[str] = []
-    for fits, part in _filled(sentences(text), size):
-        out += [part] if fits else [w for _, w in _filled(part.split(), size)]
+    found = sentences(text)
+    for a, b in runs(found, size, 1):
+        if len(found[a]) > size:
+            words = found[a].split()
+            out += [" ".join(words[x:y]) for x, y in runs(words, size, 1)]
+        else:
+            out.append(" ".join(found[a:b]))
     return [p for p in out if p]
 
 
 def paragraphs(text: str, size: int, least: int) -> list[tuple[str, int, int]]:
     """(text, start, stop) of packed paragraphs; places count what was packed. A last piece below `least` goes."""
-    out: list[tuple[str, int, int]] = []
-    held: list[str] = []
-    n = at = 0
-
-    def flush() -> None:
-        nonlocal held, n, at
-        if held:
-            whole = "\n\n".join(held)
-            out.append((whole, at, at + len(whole)))
-            at += len(whole) + 2
-            held, n = [], 0
-
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
-        if not p:
-            continue
-        if len(p) > size:
-            flush()
-            for piece in long_text(p, size):
-                out.append((piece, at, at + len(piece)))
-                at += len(piece)
-        elif n + len(p) + 2 <= size:
-            n += len(p) + 2
-            held.append(p)
-        else:
-            flush()
-            held, n = [p], len(p)
-    if held and len("\n\n".join(held)) >= least:
-        flush()
-    return out
+    found = [p for p in (x.strip() for x in re.split(r"\n\s*\n", text)) if p]
+    pieces: list[tuple[str, int]] = []  # with the gap behind it
+    for a, b in runs(found, size, 2, light=True):
+        if len(found[a]) > size:
+            pieces += [(piece, 0) for piece in long_text(found[a], size)]
+        elif b < len(found) or len("\n\n".join(found[a:b])) >= least:
+            pieces.append(("\n\n".join(found[a:b]), 2))
+    starts = accumulate((len(t) + gap for t, gap in pieces), initial=0)
+    return [(t, at, at + len(t)) for (t, _), at in zip(pieces, starts, strict=False)]
 
 
 def sections(text: str, size: int, least: int) -> list[tuple[str, int, int, str | None, int]]:
@@ -118,22 +102,13 @@ def sections(text: str, size: int, least: int) -> list[tuple[str, int, int, str
 
 def packed_lines(text: str, size: int, least: int) -> list[tuple[str, int, int, int, int]]:
     """(text, start, stop, first line, last line) of packed lines; a last piece below `least` goes."""
-    out = []
-    held: list[str] = []
-    n = at = 0
-    first = 1
     lines = text.split("\n")
-    for k, line in enumerate(lines, 1):
-        if held and n + len(line) + 1 > size:
-            whole = "\n".join(held)
-            out.append((whole, at, at + len(whole), first, k - 1))
-            at += len(whole) + 1
-            held, n, first = [], 0, k
-        held.append(line)
-        n += len(line) + 1
-    whole = "\n".join(held)
-    if len(whole) >= least:
-        out.append((whole, at, at + len(whole), first, len(lines)))
+    out, at = [], 0
+    for a, b in runs(lines, size, 1):
+        whole = "\n".join(lines[a:b])
+        if b < len(lines) or len(whole) >= least:
+            out.append((whole, at, at + len(whole), a + 1, b))
+        at += len(whole) + 1
     return out
 
 

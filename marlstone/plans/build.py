@@ -57,7 +57,7 @@ def build(spark: SparkSession, config: Config, files: DataFrame | None = None, g
     """Tables of a pack from config.source, or from files (path, content, size). Without a generator, docs are rule-based."""
     files = file_sources.read_source(spark, config.source) if files is None else files
     chosen = (registry or default_registry(config.code_chunk_size, config.text_chunk_size)).select(files, config.ingestor)
-    chunks = sequenced(chosen.chunks(files)).persist()
+    chunks = sequenced(chosen.chunks(files), files).persist()
     vectors = embedding.embedded(chunks, config.embedder).persist()
     paths = similarity.path_vectors(chunks.select("chunk_seq", "path").join(vectors, "chunk_seq")).persist()
     edges = similarity.similarity_edges(paths, config.edge_threshold, config.edges_per_file).persist()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import chunkers
 from ..operators import symbols as symbol_ops
+from ..operators.order import sums_before
 from ..sources.files import decoded
 
 
@@ -121,9 +122,11 @@ def default_registry(code_size: int = 240, text_size: int = 500) -> Registry:
     return r
 
 
-def sequenced(chunks: DataFrame) -> DataFrame:
-    """chunks with chunk_seq: their place by path and start, counted per path and summed over the paths before."""
+def sequenced(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """chunks with chunk_seq: their place by path and start, counted per path and summed over the paths before.
+
+    The files (path), if given, tell how paths are dealt without making the chunks once more.
+    """
     own = F.row_number().over(Window.partitionBy("path").orderBy("start", "stop", "chunk_id")) - 1
     per_path = chunks.groupBy("path").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return chunks.withColumn("own", own).join(per_path.select("path", before.alias("before")), "path").withColumn("chunk_seq", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
+    return chunks.withColumn("own", own).join(sums_before(per_path, "path", "n", files), "path").withColumn("chunk_seq", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files: path, text, size, doc_id."""
     ext = F.element_at(F.array(*[F.lit(e) for e in (".txt", ".md", ".json", ".py", ".rs")]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -48,7 +55,7 @@ def _sql_list(values: list[str] | tuple[str, ...]) -> str:
 
 
 def _sql_case(t: dict[str, str], key: str, default: str = "NULL") -> str:
-    return "CASE " + " ".join(f"WHEN {key} IN {_sql_list(v.split())} THEN '{k}'" for k, v in t.items()) + f" ELSE {default} END"
+    return "CASE " + " ".join(f"WHEN {key} = '{k}' THEN '{v}'" for k, v in t.items()) + f" ELSE {default} END"
 
 
 def _sql_marks(marks: tuple, text: str, last: str) -> str:
@@ -348,7 +355,7 @@ def truncate_text(spark, d):
     return table(spark, d, "documents").select("doc_id", S.truncated(t, 400).alias("text"), (S.tokens(t) > 400).alias("was_cut"), S.retry_truncated(t).alias("retry_text"))
 
 
-_PRICE = "pr(model, input, cached, output) AS (VALUES " + ", ".join("('{}', {})".format(x[0], ", ".join("NULL::DOUBLE" if v == "-" else v + "::DOUBLE" for v in x[1:])) for x in (ln.split() for ln in fixed.PRICES.strip().split("\n"))) + ")"
+_PRICE = "pr(model, input, cached, output) AS (VALUES " + ", ".join("('{}', {})".format(m, ", ".join("NULL::DOUBLE" if v is None else f"{v}::DOUBLE" for v in usd)) for m, usd in fixed.PRICES.items()) + ")"
 _MODELS = ("gpt-4o", "gpt-5-nano", "o1-pro", "gpt-image-1", "unheard-of")
 _USAGE = f"us AS (SELECT ({list(_MODELS)})[conv_id % 5 + 1] AS model, sum(CASE WHEN role = 'user' THEN length(text) // 4 ELSE 0 END) AS it, sum(CASE WHEN role = 'assistant' THEN length(text) // 4 ELSE 0 END) AS ot, sum(CASE WHEN role = 'system' THEN length(text) // 4 ELSE 0 END) AS ct FROM conversations GROUP BY 1)"
 
@@ -373,14 +380,8 @@ def batch_plan(spark, d):
     return g.select("source", "n", b.alias("batches"), i.cast("long").alias("input_tokens"), o.cast("long").alias("output_tokens"), si.alias("single_input"), so.alias("single_output"), S.output_cap(F.col("n")).alias("output_cap"))
 
 
-@_query("WITH b AS (SELECT source, doc_id, substring(text, 1, 50) AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 15 AS batch FROM documents) SELECT source, CAST(batch AS BIGINT) AS batch, string_agg(t, chr(10) || '---' || chr(10) ORDER BY doc_id) AS batch_text, count(*) AS n FROM b GROUP BY source, batch")
-def batch_texts(spark, d):
-    rows = table(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, 50).alias("t"))
-    return batching.batch_texts(batching.numbered_batches(rows, 15, "doc_id", ["source"]), ["source", "batch"], "doc_id", "t")
-
-
 @_query("WITH b AS (SELECT source, doc_id, text AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 15 AS batch FROM documents) SELECT source, CAST(batch AS BIGINT) AS batch, string_agg(t, chr(10) || '---' || chr(10) ORDER BY doc_id) AS batch_text, count(*) AS n FROM b GROUP BY source, batch")
-def batch_whole_texts(spark, d):
+def batch_texts(spark, d):
     rows = table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("t"))
     return batching.batch_texts(batching.numbered_batches(rows, 15, "doc_id", ["source"]), ["source", "batch"], "doc_id", "t")
 
@@ -505,12 +506,9 @@ def decode_text(spark, d):
 
 @_query("SELECT vec_id AS chunk_seq, CAST(k - 1 AS INTEGER) AS k, CAST(embedding[k] AS FLOAT) AS x FROM embeddings, unnest(range(1, 65)) AS t(k)")
 def embedding_roundtrip(spark, d):
-    import os
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="marlstone-")
-    file_sources.write_embeddings(_vectors(spark, d).select(F.col("id").alias("chunk_seq"), "embedding"), os.path.join(folder, "e.bin"))
-    back = file_sources.read_embeddings(spark, f"file://{folder}/e.bin", 64)
+    folder = f"{_shared(spark)}/embeddings-{uuid.uuid4().hex}"
+    file_sources.write_embedding_parts(_vectors(spark, d).select(F.col("id").alias("chunk_seq"), "embedding"), folder)
+    back = file_sources.read_embedding_parts(spark, folder, 64)
     return back.select("chunk_seq", F.posexplode("embedding").alias("k", "x"))
 
 
@@ -544,16 +542,13 @@ def parse_llm_json(spark, d):
 
 @_query()
 def stream_budget(spark, d):
-    import tempfile
-    import uuid
-
     from .streaming.budget import budget_stream
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     usage = events.select((F.col("user_id") % 4).alias("worker"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).alias("tokens"))
     name = f"budget-{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
+    base = _shared(spark)
     query = budget_stream(usage).writeStream.format("parquet").option("path", f"{base}/{name}").option("checkpointLocation", f"{base}/{name}-state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("worker long, ts timestamp, tokens long, admitted_at timestamp").parquet(f"{base}/{name}")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -152,3 +152,36 @@ def write_embeddings(vectors: DataFrame, path: str) -> dict:
             f.write(np.array(row[1], "<f4").tobytes())
             n += 1
     return {"rows": n, "dims": dims or 0, "bytes": 4 * n * (dims or 0)}
+
+
+def write_embedding_parts(vectors: DataFrame, folder: str) -> None:
+    """Float32 rows in the order of chunk_seq as a table (part, at, n, content) in a folder that the cluster shares, each range by its own task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            content = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([at]), pa.array([batch.num_rows]), pa.array([content], pa.binary())], names=["part", "at", "n", "content"])
+            at += batch.num_rows
+
+    rows = vectors.select("chunk_seq", F.col("embedding").cast("array<float>")).repartitionByRange("chunk_seq").sortWithinPartitions("chunk_seq")
+    rows.select("embedding").mapInArrow(run, "part long, at long, n long, content binary").write.mode("overwrite").parquet(folder)
+
+
+def read_embedding_parts(spark: SparkSession, folder: str, dims: int) -> DataFrame:
+    """chunk_seq (the place over all parts), embedding of such a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(content, "<f4")
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(x), dims).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(flat))), flat], names=["chunk_seq", "embedding"])
+
+    parts = spark.read.parquet(folder)
+    # As many rows as there are parts.
+    whole = parts.groupBy("part").agg(F.sum("n").alias("s"))
+    base = whole.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return parts.join(F.broadcast(base), "part").select((F.col("base") + F.col("at")).alias("first"), "content").mapInArrow(run, "chunk_seq long, embedding array<float>")

@@ -237,3 +237,38 @@ def test_stream(spark, tmp_path):
     q = chunk_stream(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("chunks").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("chunks").count() == 3
+
+
+def test_sums_before(spark):
+    from marlstone.operators.order import sums_before
+
+    for n in (0, 1, 7, 9000):
+        rows = spark.range(n).selectExpr("concat('a/', id * 7919 % 10007) AS k", "id % 5 AS n")
+        got = {r.k: r.before for r in sums_before(rows, "k", "n").collect()}
+        want, total = {}, 0
+        for k, v in sorted((f"a/{i * 7919 % 10007}", i % 5) for i in range(n)):
+            want[k], total = total, total + v
+        assert got == want
+
+
+def test_neighbors_by_any_block_size_and_with_ties(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(-1, 2, (60, 4)).astype(float)
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, embedding array<double>")
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    s = (u := x / np.where(length == 0, 1, length)) @ u.T
+    found = {}
+    for size in (None, 1, 7, 60):
+        rows = similarity.similar_pairs(v, None, 3, False, size=size).collect()
+        assert all(abs(s[r.i, r.j] - r.score) < 1e-9 and r.i != r.j for r in rows)
+        per = {i: sorted((round(r.score, 9) for r in rows if r.i == i), reverse=True) for i in range(60)}
+        assert per == {i: sorted((round(s[i, j], 9) for j in range(60) if j != i), reverse=True)[:3] for i in range(60)}
+        found[size] = per
+    assert len(set(map(str, found.values()))) == 1
+
+
+def test_embedding_parts(spark, tmp_path):
+    v = spark.range(300).selectExpr("id AS chunk_seq", "array(float(id), float(id) / 2) AS embedding")
+    fs.write_embedding_parts(v.repartition(7), f"file://{tmp_path}/e")
+    assert sorted(map(tuple, fs.read_embedding_parts(spark, f"file://{tmp_path}/e", 2).collect())) == [(k, [k, k / 2]) for k in range(300)]

@@ -46,9 +46,10 @@ def test_entry(spark):
     assert set(own.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_stands_without_the_optional_part(tmp_path):
+@pytest.mark.parametrize("linked", [False, True])
+def test_stands_without_the_optional_part(tmp_path, linked):
     top = Path(entry.__file__).parent
-    for p in ("__spark_entry__.py", "marlstone"):
+    for p in ("__spark_entry__.py", "marlstone", "corpus_pipeline.py")[: 3 if linked else 2]:
         (tmp_path / p).symlink_to(top / p)
     code = "import sys\nclass No:\n    def find_spec(self, name, *a):\n        if name == 'marlstone.llm' or name.startswith('marlstone.llm.'): raise ModuleNotFoundError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nprint(len(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=False)
@@ -58,7 +59,7 @@ def test_stands_without_the_optional_part(tmp_path):
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
 def test_batches_hold_whole_texts(spark):
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").collect()]
-    rows = own.queries()["batch_whole_texts"](spark, DATA).collect()
+    rows = own.queries()["batch_texts"](spark, DATA).collect()
     parts = len(texts) - len(rows)
     assert sum(len(r.batch_text) for r in rows) == sum(map(len, texts)) + parts * len("\n---\n") and max(map(len, texts)) > 50
 
