@@ -51,13 +51,17 @@ def cuts_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _wired(keys: np.ndarray, bits: int) -> bytes:
-    return np.ascontiguousarray(((keys << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Sorted keys of one bucket as steps from each to the next, in as many bytes as the longest step takes; that number comes first."""
+    steps = np.diff((keys << np.uint64(bits)) >> np.uint64(16), prepend=np.uint64(0))
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _unwired(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    width = b[0]
+    out = np.zeros(((len(b) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def totals(packed: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:

@@ -50,3 +50,17 @@ def test_query_uses_contexts_of_two_words(spark, tmp_path):
     got, want = by_id(op9_lm_scoring(spark, str(tmp_path))), brute(docs, 3)
     assert all(got[i].log_score == pytest.approx(s) for i, (_, s) in want.items())
     assert any(abs(s - brute(docs, 2)[i][1]) > 0.01 for i, (_, s) in want.items())
+
+
+def test_keys_travel_whole():
+    import numpy as np
+
+    from marlstone.llm.lookup import _unwired, _wired, cuts_of
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 300, 20_000):
+        for bits in (6, 11, 16):
+            keys = np.unique(np.r_[rng.integers(0, 1 << 64, n, np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)])
+            _, cut = cuts_of(keys, bits)
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                assert (_unwired(_wired(keys[a:b], bits)) == (keys[a:b] << np.uint64(bits)) >> np.uint64(16)).all()
