@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import settle, table
+from marlstone.llm.common import free_shuffles, settle, table
 from marlstone.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,11 +19,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _begin(spark: SparkSession) -> None:
+    """Ship the package, and let go of the shuffles, broadcasts and plans of the stage before."""
+    ship(spark)
+    free_shuffles(spark)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts; each row has its own verdict, whatever its doc_id."""
     from marlstone.llm.cotraining import classify
 
-    ship(spark)
+    _begin(spark)
     return classify(docs, table(spark, sf_dir, "labels"), rows_too=True).where("accepted").select(*COLUMNS)
 
 
@@ -35,8 +41,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     from marlstone.llm.simhash import similar_groups
 
-    ship(spark)
+    _begin(spark)
     groups = settle(similar_groups(docs, shingle=5, similarity=0.8), "groups")
+    free_shuffles(spark)
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f"))
     found = settle(first.select(F.col("f.doc_id").alias("sn_id"), F.col("f.text_hash").alias("sn_hash")), "kept-rows")
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
@@ -53,7 +60,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without the passages of 50 bytes or more that an earlier one has; gone where nothing is left of a text."""
     from marlstone.llm.suffix_dedup import repeated_spans
 
-    ship(spark)
+    _begin(spark)
     spans = repeated_spans(docs, length=50, text_too=True).where("n_removed > 0")
     changed = settle(spans.select(F.col("doc_id").alias("ms_id"), F.col("text_hash").alias("ms_hash"), F.col("kept").alias("ms_left")).dropDuplicates(["ms_id", "ms_hash"]), "cut-texts", "zstd")
     rest = docs.select(*COLUMNS).join(changed, F.col("doc_id").eqNullSafe(F.col("ms_id")) & (F.xxhash64("text") == F.col("ms_hash")), "left")
@@ -66,7 +73,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents of which less than a twentieth of the words are in windows of 13 benchmark words; each row has its own verdict."""
     from marlstone.llm.fmindex import contamination
 
-    ship(spark)
+    _begin(spark)
     return contamination(docs, table(spark, sf_dir, "benchmark"), width=13, keep=COLUMNS).where("NOT contaminated").select(*COLUMNS)
 
 
@@ -76,7 +83,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     from marlstone.llm.packing import pack
 
-    ship(spark)
+    _begin(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
