@@ -70,17 +70,22 @@ def prompts(chunks: DataFrame, context: DataFrame | None = None, max_tokens: int
 def generated(asked: DataFrame, generator: Generator, workers: int = 8, retry: bool = True) -> DataFrame:
     """chunk_seq, text, input_tokens, cached_tokens, output_tokens, success, error of prompts (chunk_seq, prompt).
 
-    `workers` partitions ask at a time. What failed is asked once more with its prompt cut to three quarters.
+    `workers` partitions ask at a time. What failed is asked once more with its prompt cut to three quarters; whole, where the
+    marker would make it no shorter.
     """
     schema = "chunk_seq long, text string, input_tokens long, cached_tokens long, output_tokens long, success boolean, error string"
 
+    def shorter(prompt: str) -> str:
+        cut = prompt[: len(prompt) * 3 // 4] + S.MARKER
+        return cut if len(cut) < len(prompt) else prompt
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             got = generator.generate(texts)
             again = [k for k, g in enumerate(got) if not g["success"]] if retry else []
             if again:
-                for k, g in zip(again, generator.generate([texts[k][: len(texts[k]) * 3 // 4] + S.MARKER for k in again]), strict=True):
+                for k, g in zip(again, generator.generate([shorter(texts[k]) for k in again]), strict=True):
                     got[k] = g
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
             names = ("chunk_seq", "text", "input_tokens", "cached_tokens", "output_tokens", "success", "error")

@@ -226,6 +226,21 @@ def test_generator_retries(spark):
     assert got == {1: True, 2: True, 3: False}
 
 
+@pytest.fixture(scope="module")
+def short_texts(spark, tmp_path_factory):
+    """Documents whose text is shorter than the number before it in the prompt."""
+    folder = tmp_path_factory.mktemp("short")
+    rows = [(100000, "b c", "en", "web"), (200005, "a", "en", "web"), (300007, None, "de", "web"), (1234560, None, "de", "wiki"), (12345678905, "", "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_documentation_rows_of_short_texts(spark, short_texts):
+    from marlstone.plan_queries import documentation_rows
+
+    assert [tuple(r) for r in documentation_rows(spark, short_texts).collect()] == [("doc_300007", "s300007")]
+
+
 def test_stream(spark, tmp_path):
     from marlstone.streaming.budget import admitted, chunk_stream
 
