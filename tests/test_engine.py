@@ -241,6 +241,13 @@ def test_documentation_rows_of_short_texts(spark, short_texts):
     assert [tuple(r) for r in documentation_rows(spark, short_texts).collect()] == [("doc_300007", "s300007")]
 
 
+def test_failure_report_of_short_texts(spark, short_texts):
+    from marlstone.plan_queries import failure_report
+
+    got = {r.path: r.error for r in failure_report(spark, short_texts).collect()}
+    assert got == {"web/en/100000.txt": "refused 100000", "web/en/200005.txt": "refused 200005", "wiki/de/1234560.txt": "refused 1234560", "web/en/12345678905.txt": "refused 12345678905"}
+
+
 def test_stream(spark, tmp_path):
     from marlstone.streaming.budget import admitted, chunk_stream
 
