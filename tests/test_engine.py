@@ -248,6 +248,13 @@ def test_failure_report_of_short_texts(spark, short_texts):
     assert got == {"web/en/100000.txt": "refused 100000", "web/en/200005.txt": "refused 200005", "wiki/de/1234560.txt": "refused 1234560", "web/en/12345678905.txt": "refused 12345678905"}
 
 
+def test_generation_totals_of_short_texts(spark, short_texts):
+    from marlstone.plan_queries import generation_totals
+
+    r = generation_totals(spark, short_texts).first()
+    assert (r.n, r.n_ok, r.n_failed, r.input_tokens) == (5, 1, 4, 500)
+
+
 def test_stream(spark, tmp_path):
     from marlstone.streaming.budget import admitted, chunk_stream
 
