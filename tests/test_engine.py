@@ -255,6 +255,13 @@ def test_generation_totals_of_short_texts(spark, short_texts):
     assert (r.n, r.n_ok, r.n_failed, r.input_tokens) == (5, 1, 4, 500)
 
 
+def test_run_statistics_of_short_texts(spark, short_texts):
+    from marlstone.plan_queries import run_statistics
+
+    r = run_statistics(spark, short_texts).first()
+    assert (r.total_files, r.total_chunks, r.llm_docs_generated) == (3, 5, 1)
+
+
 def test_stream(spark, tmp_path):
     from marlstone.streaming.budget import admitted, chunk_stream
 
