@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_settled, encoded, settle
+from .common import drop_settled, encoded, lean, settle
 from .fmindex import words_of
 
 SIZE = 1 << 17
@@ -210,7 +210,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 t, m = [f.text(x).tobytes() for x in text], [f.meta(*x).tobytes() for x in zip(lang, source, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "t", "m"])
 
-    return docs.where("doc_id IS NOT NULL").select(*_DOC).mapInArrow(run, "doc_id long, t binary, m binary")
+    return docs.where("doc_id IS NOT NULL").select(*_DOC).mapInArrow(lean(run), "doc_id long, t binary, m binary")
 
 
 def _collected(featured: DataFrame, ids: list[int], most_bytes: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -245,7 +245,7 @@ def _pseudo_labels(featured: DataFrame, marks: DataFrame, targets: dict[str, CoT
             grades = [np.clip(shared.value[t].calibrated(v, rows[v]) * GRADES, -9999, 9999).astype(np.int32) for t, v in keys]
             yield pa.RecordBatch.from_arrays([whole.column("doc_id"), *map(pa.array, grades)], names=["doc_id", *(f"g{k}" for k in range(len(keys)))])
 
-    scores = featured.mapInArrow(run, "doc_id long, " + ", ".join(f"g{k} int" for k in range(len(keys)))).join(marks.select("doc_id"), "doc_id", "left_anti")
+    scores = featured.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"g{k} int" for k in range(len(keys)))).join(marks.select("doc_id"), "doc_id", "left_anti")
     scores = settle(scores, "view-scores")
     spread = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("g")) for k in range(len(keys)))))
     least = int(np.log(sure / (1 - sure)) * GRADES) + 1
@@ -328,7 +328,7 @@ def scored(docs: DataFrame, models: dict[str, Combined | float], threshold: floa
                     [pa.array(i, pa.int64()), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(good), *(batch.column(c) for c in more)], names=["doc_id", "quality_score", "toxic_score", "accepted", *more]
                 )
 
-    return _documents(docs).mapInArrow(run, "doc_id long, quality_score double, toxic_score double, accepted boolean" + (", text string, lang string, source string, n_chars long" if rows_too else ""))
+    return _documents(docs).mapInArrow(lean(run), "doc_id long, quality_score double, toxic_score double, accepted boolean" + (", text string, lang string, source string, n_chars long" if rows_too else ""))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows_too: bool = False, **bounds: int) -> DataFrame:

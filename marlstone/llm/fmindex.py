@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, encoded, settle
+from .common import drop_settled, encoded, lean, settle
 
 #: Words of a shard, one document at least. Longer documents are sharded with an overlap of a window less a word.
 SHARD = 1 << 20
@@ -265,7 +265,7 @@ def _marked(docs: DataFrame, shared: Broadcast[Windows], width: int, text_too: b
             yield done(rows, kept)
 
     kinds = dict(docs.dtypes)
-    return docs.select("doc_id", "text", "spans", "items", *keep).mapInArrow(run, ", ".join([_STATE, *(f"{c} {kinds[c]}" for c in keep)]))
+    return docs.select("doc_id", "text", "spans", "items", *keep).mapInArrow(lean(run), ", ".join([_STATE, *(f"{c} {kinds[c]}" for c in keep)]))
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:

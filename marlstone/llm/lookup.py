@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, rows_of
+from .common import BUCKET_BYTES, lean, rows_of
 
 
 def bucket_bits(packed: DataFrame) -> int:
@@ -92,7 +92,7 @@ def totals(packed: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.nda
         ends = np.cumsum([len(p) for p in parts])
         return pa.table({"m": t.column("m"), "bucket": t.column("bucket"), "total": pa.array([squeezed(total[e - len(p) : e]) for p, e in zip(parts, ends, strict=True)], pa.binary())})
 
-    asked = packed.mapInArrow(ask, "bucket long, m long, keys binary, counts binary")
+    asked = packed.mapInArrow(lean(ask), "bucket long, m long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "m long, bucket long, total binary")
     return answers.groupBy("m").agg(F.collect_list(F.struct("bucket", "total")).alias("told"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_settled, encoded, settle
+from .common import LOWER, drop_settled, encoded, lean, settle
 from .lookup import mix
 
 SEED = 42
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 fp = fingerprints_of(part.column(1).to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _join_nodes(
@@ -203,7 +203,7 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
 
     at = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", s), 64 - width).alias("value")) for k, s in enumerate(starts)]
     spread = nodes.select("rep", "fp", F.explode(F.array(*at)).alias("t")).select("rep", "fp", "t.block", "t.value")
-    return spread.repartition(F.col("block"), F.col("value")).select("block", "rep", "fp").mapInArrow(run, "a long, b long")
+    return spread.repartition(F.col("block"), F.col("value")).select("block", "rep", "fp").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -302,7 +302,7 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(k[n > 1]), pa.array(n[n > 1])], names=["k", "c"])
 
     some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0)
-    most = some.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "k").limit(MOST_COMMON)
+    most = some.mapInArrow(lean(run), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "k").limit(MOST_COMMON)
     return np.sort(np.array([r.k for r in most.select("k").collect()], np.int64))
 
 
@@ -324,7 +324,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in (0, 1)], names=["a", "b"])
 
     x, y = (texts.select(F.col("node").alias(c), F.col("text").alias("text_" + c)) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -358,7 +358,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity:
             yield pa.RecordBatch.from_arrays([pa.array(v[s][many[s]]) for v in (k, node, place, lead)], names=["k", "node", "place", "lead"])
 
     spread = nodes.select("node", F.posexplode("first").alias("place", "k"))
-    met = settle(spread.repartition("k").mapInArrow(meet, "k long, node long, place int, lead long"), "met", "zstd")
+    met = settle(spread.repartition("k").mapInArrow(lean(meet), "k long, node long, place int, lead long"), "met", "zstd")
     known = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("sig").alias("sig"))
     sizes = settle(known.join(met.select("node").distinct(), "node", "left_semi"), "met-sizes")
 
@@ -440,9 +440,9 @@ def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity:
     for nearest in (True, True, False):
         # Only groups of which not all nodes are tied are gone on with; signatures travel for these alone.
         owned = open_.join(tied, "node", "left").select("k", "node", "place", F.coalesce("component", "node").alias("component"))
-        left = settle(owned.repartition("k").mapInArrow(mixed, "k long, node long, place int, component long"), "open-groups", "zstd")
+        left = settle(owned.repartition("k").mapInArrow(lean(mixed), "k long, node long, place int, component long"), "open-groups", "zstd")
         told = left.join(sizes.select("node", "n", "sig"), "node").select("k", "node", "place", "n", "component", "sig")
-        pairs = settle(told.repartition("k").mapInArrow(lambda batches, nearest=nearest: pair(batches, nearest), "a long, b long").distinct(), "candidates")
+        pairs = settle(told.repartition("k").mapInArrow(lean(lambda batches, nearest=nearest: pair(batches, nearest)), "a long, b long").distinct(), "candidates")
         open_ = left.drop("component")
         good = settle(_alike(pairs, texts(pairs), shingle, similarity), "links")
         links_so_far = links_so_far.unionByName(good)
@@ -481,7 +481,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
                 )
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, text_hash long, node long, n long, sig binary, first array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(lean(run), "doc_id long, text_hash long, node long, n long, sig binary, first array<long>")
     signed = settle(rows, "shingled", "zstd")
     tied = components(similar_links(docs, signed, shingle, similarity))
     named = signed.groupBy("node").agg(F.min("doc_id").alias("rep")).join(tied, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_array, pack_documents, rows_of, settle, unpacked
+from .common import give_back, ids_array, lean, pack_documents, rows_of, settle, unpacked
 from .lookup import bucket_bits, cuts_of, mix, squeezed, swollen, told_totals, totals
 
 LENGTH = 50
@@ -156,6 +156,16 @@ def _repeats(parts: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _repeats_of_all(parts: list[bytes], number: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """_repeats() for segments given by their numbers among the distinct parts, which are sorted once each."""
+    low = np.full(len(parts), np.iinfo(np.int64).max)
+    np.minimum.at(low, number, least)
+    out = _repeats(parts, low, length)[number]
+    # All strings of a segment are repeats where the same bytes come with a smaller id.
+    out[least > low[number]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return out
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed `spans` (start, stop in bytes), one row per input row.
 
@@ -197,17 +207,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
             )
 
     def compare(t: pa.Table) -> pa.Table:
-        parts: list[bytes] = []
+        seen: dict[bytes, int] = {}
+        number: list[np.ndarray] = []
         least: list[np.ndarray] = []
-        count: list[int] = []
         for blob, sizes, low in zip(*(t.column(c).to_pylist() for c in ("parts", "sizes", "least")), strict=True):
             raw, ends = swollen(blob, "u1").tobytes(), np.cumsum(swollen(sizes, "u1"), dtype=np.int64).tolist()
-            parts += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            number.append(np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
             least.append(swollen(low, "<i8"))
-            count.append(len(ends))
-        told = _repeats(parts, np.concatenate(least), length)
-        ends = np.cumsum(count)
-        return pa.table({"m": t.column("m"), "bucket": t.column("bucket"), "bits": pa.array([squeezed(told[e - n : e]) for n, e in zip(count, ends, strict=True)], pa.binary())})
+        told = _repeats_of_all(list(seen), np.concatenate(number), np.concatenate(least), length)
+        ends = np.cumsum([len(n) for n in number])
+        out = pa.table({"m": t.column("m"), "bucket": t.column("bucket"), "bits": pa.array([squeezed(told[e - len(n) : e]) for n, e in zip(number, ends, strict=True)], pa.binary())})
+        del seen, number, least, told
+        give_back()
+        return out
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -266,10 +278,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_too: bool = False
             )
 
     told = settle(totals(packed, keys_of, bits), "anchor-totals")
-    sent = packed.join(told, "m", "left").mapInArrow(send, "bucket long, m long, parts binary, sizes binary, least binary")
+    sent = packed.join(told, "m", "left").mapInArrow(lean(send), "bucket long, m long, parts binary, sizes binary, least binary")
     answers = sent.groupBy("bucket").applyInArrow(compare, "m long, bucket long, bits binary")
     answers = settle(answers.groupBy("m").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "repeats")
     spans = packed.join(told, "m", "left").join(answers, "m", "left").mapInArrow(
-        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept string, text_hash long"
+        lean(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept string, text_hash long"
     )
     return spans if text_too else spans.drop("kept", "text_hash")

@@ -145,6 +145,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def forget_all() -> None:
+    """Let go of this worker's tokenizers and their caches."""
+    _loaded.clear()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """ids with `end` after each text's, and the counts with it."""
     return np.insert(ids, np.cumsum(counts), end), counts + 1

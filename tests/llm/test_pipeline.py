@@ -83,3 +83,15 @@ def test_stages_on_odd_rows(spark, corpus):
     assert sorted((r.doc_id or -1, len(r.text or "")) for r in deduped) == [(-1, 0), (-1, 3), (1, 3), (1, 3), (5, 120), (6, 2)]
     near = dict(cp.STAGES)["simhash near-dedup"](spark, odd, corpus)
     assert near.where("doc_id = 1").count() == 1 and near.where("doc_id IS NULL").count() == 2
+
+
+def test_workers_let_go_of_tokenizers():
+    import public_tokenizers
+
+    from marlstone.llm import tokens
+    from marlstone.llm.common import lean
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens.tokenizer(path)
+    assert list(lean(lambda batches: iter(batches), tokens=True)([1, 2])) == [1, 2] and path in tokens._loaded
+    assert list(lean(lambda batches: iter(batches))([1])) == [1] and not tokens._loaded

@@ -1,11 +1,12 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm.suffix_dedup import deep_shallow_sort, repeated_spans
+from marlstone.llm.suffix_dedup import _repeats, _repeats_of_all, deep_shallow_sort, repeated_spans
 
 from .fixtures import by_id, documents, texts
 
@@ -51,3 +52,18 @@ def test_sort(parts, tail):
     got = [raw[k : k + 50] for k in starts[order]]
     assert got == sorted(got)
     assert [a == b for a, b in zip(got, got[1:], strict=False)] == (np.diff(group) == 0).tolist()
+
+
+def test_copies_of_segments_are_sorted_once():
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 100, 400).astype(np.uint8).tobytes()
+    parts = [base[k : k + 63] for k in range(0, 300, 7)]
+    number, least = rng.integers(0, len(parts), 8000), rng.integers(0, 50, 8000)
+    peaks, told = [], []
+    for f in (lambda: _repeats([parts[k] for k in number], least, 50), lambda: _repeats_of_all(parts, number, least, 50)):
+        tracemalloc.start()
+        told.append(f())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert np.array_equal(told[0] & np.uint64((1 << 14) - 1), told[1] & np.uint64((1 << 14) - 1))
+    assert peaks[1] * 10 < peaks[0]
