@@ -111,18 +111,24 @@ class _Mixer:
         self.last[:n] = symbol
 
 
+#: Places of a block that are compared each with each; the ones before them are counted by rank.
+_NEAR = 128
+_BEFORE = np.tril(np.ones((_NEAR, _NEAR), bool), -1)
+
+
 def _earlier(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place, how many earlier ones have a lower rank, and how many the same; bit by bit from the highest."""
-    n, below = len(rank), np.zeros(len(rank), np.int64)
-    short = rank.astype(np.uint16)
-    for bit in range(max(1, int(rank.max(initial=0)).bit_length()) - 1, -1, -1):
-        order = np.argsort(short >> np.uint16(bit + 1), kind="stable")
-        up = (short[order] >> np.uint16(bit) & np.uint16(1)).astype(bool)
-        zeros = np.cumsum(~up)
-        head = np.r_[True, (short[order][1:] ^ short[order][:-1]) >> np.uint16(bit + 1) > 0]
-        first = np.flatnonzero(head)
-        base = (zeros[first] - ~up[first])[np.cumsum(head) - 1]
-        below[order[up]] += (zeros - base)[up]
+    """For each place, how many earlier ones have a lower rank, and how many the same."""
+    n, many = len(rank), int(rank.max(initial=0)) + 2
+    runs = -(-n // _NEAR)
+    padded = np.full(runs * _NEAR, many - 1, np.uint16)
+    padded[:n] = rank
+    run = np.arange(n) // _NEAR
+    had = np.bincount(run * many + rank + 1, minlength=runs * many).astype(np.int32).reshape(runs, many)
+    below = np.cumsum(np.cumsum(had, 0) - had, 1, dtype=np.int32).ravel()[run * many + rank]
+    short = padded.reshape(runs, _NEAR)
+    near = (short[:, None, :] < short[:, :, None]) & _BEFORE
+    below = below.astype(np.int64) + _trues(near.reshape(-1, _NEAR))[:n]
+    short = padded[:n]
     order = np.argsort(short, kind="stable")
     first = np.flatnonzero(np.r_[True, short[order][1:] != short[order][:-1]])
     same = np.empty(n, np.int64)
@@ -171,8 +177,57 @@ class _Counts:
             level.ravel()[lanes * n + symbol // size] += many
 
 
-#: Fan-outs of the frequencies of known ids and of a new id's high byte, and what an occurrence of the latter adds.
-_KNOWN, _NEW, _MORE = (32, 16, 16), (16, 16), 24
+def _trues(mask: np.ndarray) -> np.ndarray:
+    """How many are true in each row of 4 or a multiple of 8."""
+    if mask.shape[1] == 4:
+        return (mask.view(np.uint32).ravel() * np.uint32(0x01010101) >> np.uint32(24)).astype(np.int64)
+    words = mask.view(np.uint64)
+    total = words[:, 0]
+    for k in range(1, words.shape[1]):
+        total = total + words[:, k]
+    return (total * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+
+
+class _Seen:
+    """How often each rank has been had in each lane, BLOCK times together at most; levels of running sums within nodes, so that
+    a search compares and adds nothing up."""
+
+    def __init__(self, lanes: int, bits: tuple[int, ...]) -> None:
+        self.bits, self.levels, self.up, n = bits, [], [], 1
+        for b in bits:
+            self.levels.append(np.zeros((lanes * n, 1 << b), np.int16))
+            self.up.append(np.triu(np.ones((1 << b, 1 << b), np.int16)))
+            n <<= b
+
+    def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rank in whose share the target falls, the shares of all lower ones together, and its share."""
+        node, left, at, depth = np.zeros(len(target), np.int64), target.astype(np.int16), np.arange(len(target)), 0
+        for b, level in zip(self.bits, self.levels, strict=True):
+            rows = level.take((lanes << depth) + node, 0)
+            k = np.minimum(_trues(rows <= left[:, None]), (1 << b) - 1)
+            here, flat = (at << b) + k, rows.ravel()
+            under = np.where(k > 0, flat[here - 1], np.int16(0))
+            left = left - under
+            node, depth = (node << b) + k, depth + b
+        return node, target - left, (flat[here] - under).astype(np.int64)
+
+    def add(self, n: int, symbol: np.ndarray) -> None:
+        """One more of a rank in each of the first n lanes."""
+        lanes, low, depth = np.arange(n), sum(self.bits), 0
+        for b, level, up in zip(self.bits, self.levels, self.up, strict=True):
+            low -= b
+            node = symbol >> low
+            more = up.take(node & ((1 << b) - 1), 0)
+            if depth:
+                at = (lanes << depth) + (node >> b)
+                level[at] = level.take(at, 0) + more
+            else:
+                level[:n] += more
+            depth += b
+
+
+#: Fan-outs, as powers of two, of the frequencies of known ids; fan-outs of those of a new id's high byte, and what an occurrence of the latter adds.
+_KNOWN, _NEW, _MORE = (5, 4, 4), (16, 16), 24
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -261,12 +316,12 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     words, base = read.ravel(), np.arange(lanes) * width
     code = (read[:, 0].astype(np.uint64) << np.uint64(32)) | (read[:, 1].astype(np.uint64) << np.uint64(16)) | read[:, 2].astype(np.uint64)
     span, pos = np.full(lanes, 1 << 48, np.uint64), np.full(lanes, 3, np.int64)
-    mixer, seen = _Mixer(lanes), _Counts(lanes, _KNOWN)
+    mixer, seen = _Mixer(lanes), _Seen(lanes, _KNOWN)
     fresh, total = _Counts(lanes, _NEW, _HIGH), np.full(lanes, int(_HIGH.sum()), np.uint64)
     ids = np.zeros((steps, lanes), np.uint16)
     known, n_known = np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes, np.int64)
+    # What last followed a context: its id in 16 bits, its rank in 13, the state in 3.
     next2, next1 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
-    rank2, rank1 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
     prev, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     live = lanes - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
     lane = np.arange(lanes)
@@ -283,9 +338,9 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         at2 = lane[:n] * SLOTS + _slot2(prev[:n], before[:n])
         at1 = lane[:n] * SLOTS + (prev[:n] & np.uint32(SLOTS - 1))
         told2, told1 = next2[at2], next1[at1]
-        row = mixer.mixed((told2 >> np.uint32(16)).astype(np.int64), (told1 >> np.uint32(16)).astype(np.int64), n)
+        row = mixer.mixed((told2 >> np.uint32(29)).astype(np.int64), (told1 >> np.uint32(29)).astype(np.int64), n)
         unit = span[:n] >> np.uint64(15)
-        s = (row <= np.minimum(code[:n] // unit, _ONE - 1).astype(np.int32)[:, None]).sum(1) - 1
+        s = _trues(row <= np.minimum(code[:n] // unit, _ONE - 1).astype(np.int32)[:, None]) - 1
         flat = row.ravel()
         at = mixer.flat[:n] + s
         lo = flat[at]
@@ -294,8 +349,9 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         span[:n] = unit * (hi - lo).astype(np.uint64)
         shifted(n)
         old, new = np.flatnonzero(s == 2), np.flatnonzero(s == 3)
-        got = np.where(s == 0, told2, told1) & np.uint32(0xFFFF)
-        r = np.where(s == 0, rank2[at2], rank1[at1]).astype(np.int64)
+        told = np.where(s == 0, told2, told1)
+        got = told & np.uint32(0xFFFF)
+        r = ((told >> np.uint32(16)) & np.uint32(BLOCK - 1)).astype(np.int64)
         if len(old):
             unit = span[old] // np.uint64(t)
             r[old], below, many = seen.find(old, np.minimum(code[old] // unit, np.uint64(t - 1)).astype(np.int64))
@@ -318,12 +374,12 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         shifted(n)
         mixer.learn(s, n)
         r = np.minimum(r, BLOCK - 1)
-        seen.add(lane[:n], r)
-        rank2[at2], rank1[at1] = r, r
+        seen.add(n, r)
+        kept = got | (r.astype(np.uint32) << np.uint32(16))
         for slots, where, told in ((next2, at2, told2), (next1, at1, told1)):
-            state = told >> np.uint32(16)
+            state = told >> np.uint32(29)
             state = np.where((state > 0) & (told & np.uint32(0xFFFF) == got), np.minimum(state + 1, 4), 1).astype(np.uint32)
-            slots[where] = got | (state << np.uint32(16))
+            slots[where] = kept | (state << np.uint32(29))
         ids[t, :n] = got
         before[:n], prev[:n] = prev[:n], got
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from marlstone.llm.idcodec import BLOCK, decode, encode
+from marlstone.llm.idcodec import BLOCK, _earlier, _Seen, decode, encode
 from marlstone.llm.packing import pack, sum_of_squares
 from marlstone.llm.token_files import token_file_index, write_token_files
 
@@ -48,6 +48,31 @@ def test_codec_full_blocks_and_damage():
         decode([coded[3][:-2]])
 
 
+def test_codec_bytes_stay():
+    blocks = [(np.arange(n, dtype=np.int64) * n * 7919 % 97 * (np.arange(n) % 5) + np.arange(n) // 300 * 11).astype(np.uint32) for n in (BLOCK, 700, 1)]
+    assert [zlib.crc32(c) for c in encode(blocks)] == [1666123691, 45857111, 2937749167]  # files written before stay readable
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=500))
+def test_earlier_ranks(ranks):
+    below, same = _earlier(np.array(ranks))
+    assert below.tolist() == [sum(r < x for r in ranks[:k]) for k, x in enumerate(ranks)] and same.tolist() == [ranks[:k].count(x) for k, x in enumerate(ranks)]
+
+
+def test_seen_finds_shares():
+    rng = np.random.default_rng(7)
+    seen, had = _Seen(3, (5, 4, 4)), np.zeros((3, BLOCK), np.int64)
+    for t in range(1, 400):
+        r = np.where(rng.random(3) < 0.5, rng.integers(0, 40, 3), rng.integers(0, BLOCK, 3))
+        seen.add(3, r)
+        had[np.arange(3), r] += 1
+        lanes, target = np.array([2, 0, 1]), rng.integers(0, t, 3)
+        rank, below, many = seen.find(lanes, target)
+        assert (below <= target).all() and (target < below + many).all()
+        assert below.tolist() == [had[j, :k].sum() for j, k in zip(lanes, rank, strict=True)] and many.tolist() == had[lanes, rank].tolist()
+
+
 def test_token_files(spark):
     got = by_id(token_file_index(documents(spark), PATH))
     start = 0
