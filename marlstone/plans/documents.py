@@ -71,7 +71,7 @@ def generated(asked: DataFrame, generator: Generator, workers: int = 8, retry: b
     """chunk_seq, text, input_tokens, cached_tokens, output_tokens, success, error of prompts (chunk_seq, prompt).
 
     `workers` partitions ask at a time. What failed is asked once more with its prompt cut to three quarters; whole, where the
-    marker would make it no shorter.
+    marker would make it no shorter. A null prompt is not asked: no text, no tokens, success null.
     """
     schema = "chunk_seq long, text string, input_tokens long, cached_tokens long, output_tokens long, success boolean, error string"
 
@@ -82,8 +82,11 @@ def generated(asked: DataFrame, generator: Generator, workers: int = 8, retry: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got = generator.generate(texts)
-            again = [k for k, g in enumerate(got) if not g["success"]] if retry else []
+            got = [{"text": None, "input_tokens": 0, "cached_tokens": 0, "output_tokens": 0, "success": None, "error": None} for _ in texts]
+            asked_for = [k for k, t in enumerate(texts) if t is not None]
+            for k, g in zip(asked_for, generator.generate([texts[k] for k in asked_for]), strict=True):
+                got[k] = g
+            again = [k for k in asked_for if not got[k]["success"]] if retry else []
             if again:
                 for k, g in zip(again, generator.generate([shorter(texts[k]) for k in again]), strict=True):
                     got[k] = g

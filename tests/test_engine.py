@@ -262,6 +262,21 @@ def test_run_statistics_of_short_texts(spark, short_texts):
     assert (r.total_files, r.total_chunks, r.llm_docs_generated) == (3, 5, 1)
 
 
+@pytest.fixture(scope="module")
+def without_doc_id(spark, tmp_path_factory):
+    """Documents of which one has no doc_id, so that there is nothing to ask."""
+    folder = tmp_path_factory.mktemp("without")
+    rows = [(None, "a b", "en", "web"), (10, None, "en", "web"), (11, "c", "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_failure_report_without_doc_id(spark, without_doc_id):
+    from marlstone.plan_queries import failure_report
+
+    assert [tuple(r) for r in failure_report(spark, without_doc_id).collect()] == [("web/en/10.txt", "refused 10")]
+
+
 def test_stream(spark, tmp_path):
     from marlstone.streaming.budget import admitted, chunk_stream
 
