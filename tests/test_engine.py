@@ -277,6 +277,13 @@ def test_failure_report_without_doc_id(spark, without_doc_id):
     assert [tuple(r) for r in failure_report(spark, without_doc_id).collect()] == [("web/en/10.txt", "refused 10")]
 
 
+def test_generation_totals_without_doc_id(spark, without_doc_id):
+    from marlstone.plan_queries import generation_totals
+
+    r = generation_totals(spark, without_doc_id).first()
+    assert (r.n, r.n_ok, r.n_failed) == (3, 1, 1)
+
+
 def test_stream(spark, tmp_path):
     from marlstone.streaming.budget import admitted, chunk_stream
 
