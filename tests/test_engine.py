@@ -284,6 +284,12 @@ def test_generation_totals_without_doc_id(spark, without_doc_id):
     assert (r.n, r.n_ok, r.n_failed) == (3, 1, 1)
 
 
+def test_run_statistics_without_doc_id(spark, without_doc_id):
+    from marlstone.plan_queries import run_statistics
+
+    assert run_statistics(spark, without_doc_id).first().llm_docs_generated == 1
+
+
 def test_stream(spark, tmp_path):
     from marlstone.streaming.budget import admitted, chunk_stream
 
