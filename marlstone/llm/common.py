@@ -69,11 +69,27 @@ def drop_settled(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of plans that are done; a hint, results never depend on it."""
+    """Let Spark's cleaner find the shuffle files of plans that are done, and give back the driver's freed memory; a hint, results never depend on it."""
     import gc
 
     gc.collect()
     spark._jvm.System.gc()
+    trim_jvm(spark)
+    give_back()
+
+
+def trim_jvm(spark: SparkSession) -> bool:
+    """Return what the driver's JVM has freed outside its heap to the system: many short-lived threads leave much behind. Whether that JVM can."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # By the interface: the server's own class is not open to calls.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Exception:  # noqa: BLE001  an older JVM, or another kind
+        return False
+    return True
 
 
 def encoded(text: str | None) -> bytes:

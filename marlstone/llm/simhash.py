@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_settled, encoded, lean, settle
+from .common import LOWER, drop_settled, encoded, free_shuffles, lean, settle
 from .lookup import mix
 
 SEED = 42
@@ -369,6 +369,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity:
 
     most = met.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "lead")).alias("m"))
     tries = settle(most.join(sizes, "node").where("m.c * 20 >= n").select(F.col("node").alias("a"), F.col("m.lead").alias("b")), "tries")
+    free_shuffles(docs.sparkSession)
     sure = settle(_alike(tries, texts(tries), shingle, similarity), "sure-links")
     tied = components(sure)
     budget = [int(bit_budget(64 * PARTS, similarity, small)) for small in (False, True)]
@@ -438,6 +439,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, shingle: int, similarity:
 
     links_so_far, open_ = sure, met.select("k", "node", "place")
     for nearest in (True, True, False):
+        free_shuffles(docs.sparkSession)
         # Only groups of which not all nodes are tied are gone on with; signatures travel for these alone.
         owned = open_.join(tied, "node", "left").select("k", "node", "place", F.coalesce("component", "node").alias("component"))
         left = settle(owned.repartition("k").mapInArrow(lean(mixed), "k long, node long, place int, component long"), "open-groups", "zstd")
@@ -483,7 +485,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(lean(run), "doc_id long, text_hash long, node long, n long, sig binary, first array<long>")
     signed = settle(rows, "shingled", "zstd")
-    tied = components(similar_links(docs, signed, shingle, similarity))
+    links_ = similar_links(docs, signed, shingle, similarity)
+    free_shuffles(docs.sparkSession)
+    tied = components(links_)
     named = signed.groupBy("node").agg(F.min("doc_id").alias("rep")).join(tied, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
     lowest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     return signed.select("doc_id", "node", "text_hash").join(named.join(lowest, "group").select("node", "group", "component_id"), "node", "left").select("doc_id", "component_id", "text_hash", "group")

@@ -95,3 +95,15 @@ def test_workers_let_go_of_tokenizers():
     tokens.tokenizer(path)
     assert list(lean(lambda batches: iter(batches), tokens=True)([1, 2])) == [1, 2] and path in tokens._loaded
     assert list(lean(lambda batches: iter(batches))([1])) == [1] and not tokens._loaded
+
+
+def test_stages_give_back_the_drivers_memory(spark, corpus, monkeypatch):
+    from marlstone.llm import common
+
+    trimmed = []
+    trim = common.trim_jvm
+    monkeypatch.setattr(common, "trim_jvm", lambda s: trimmed.append(trim(s)))
+    empty = spark.read.parquet(f"{corpus}/documents.parquet").where("false")
+    dict(cp.STAGES)["simhash near-dedup"](spark, empty, corpus)
+    # At its beginning, before each of its five parts that tie texts, and at its end.
+    assert len(trimmed) >= 7 and all(trimmed)
