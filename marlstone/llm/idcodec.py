@@ -320,11 +320,13 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     fresh, total = _Counts(lanes, _NEW, _HIGH), np.full(lanes, int(_HIGH.sum()), np.uint64)
     ids = np.zeros((steps, lanes), np.uint16)
     known, n_known = np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes, np.int64)
-    # What last followed a context: its id in 16 bits, its rank in 13, the state in 3.
-    next2, next1 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
+    # What last followed a context: its rank in 13 bits, the state in 3.
+    next2, next1 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
     prev, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     live = lanes - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
     lane = np.arange(lanes)
+    shelf, nook = lane * BLOCK, lane * SLOTS
+    shift, place = np.uint16(13), np.uint16(BLOCK - 1)
 
     def shifted(n: int) -> None:
         k = np.flatnonzero(span[:n] <= _LOW32)
@@ -335,10 +337,10 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
 
     for t in range(steps):
         n = int(live[t])
-        at2 = lane[:n] * SLOTS + _slot2(prev[:n], before[:n])
-        at1 = lane[:n] * SLOTS + (prev[:n] & np.uint32(SLOTS - 1))
+        at2 = nook[:n] + _slot2(prev[:n], before[:n])
+        at1 = nook[:n] + (prev[:n] & np.uint32(SLOTS - 1))
         told2, told1 = next2[at2], next1[at1]
-        row = mixer.mixed((told2 >> np.uint32(29)).astype(np.int64), (told1 >> np.uint32(29)).astype(np.int64), n)
+        row = mixer.mixed((told2 >> shift).astype(np.int64), (told1 >> shift).astype(np.int64), n)
         unit = span[:n] >> np.uint64(15)
         s = _trues(row <= np.minimum(code[:n] // unit, _ONE - 1).astype(np.int32)[:, None]) - 1
         flat = row.ravel()
@@ -349,15 +351,13 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         span[:n] = unit * (hi - lo).astype(np.uint64)
         shifted(n)
         old, new = np.flatnonzero(s == 2), np.flatnonzero(s == 3)
-        told = np.where(s == 0, told2, told1)
-        got = told & np.uint32(0xFFFF)
-        r = ((told >> np.uint32(16)) & np.uint32(BLOCK - 1)).astype(np.int64)
+        r = (np.where(s == 0, told2, told1) & place).astype(np.int64)
         if len(old):
             unit = span[old] // np.uint64(t)
             r[old], below, many = seen.find(old, np.minimum(code[old] // unit, np.uint64(t - 1)).astype(np.int64))
             code[old] -= unit * below.astype(np.uint64)
             span[old] = unit * many.astype(np.uint64)
-            got[old] = known[old * BLOCK + r[old]]
+        got = known.take(shelf[:n] + r).astype(np.uint32)
         if len(new):
             unit = span[new] // total[new]
             high, below, many = fresh.find(new, np.minimum(code[new] // unit, total[new] - np.uint64(1)).astype(np.int64))
@@ -375,11 +375,11 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         mixer.learn(s, n)
         r = np.minimum(r, BLOCK - 1)
         seen.add(n, r)
-        kept = got | (r.astype(np.uint32) << np.uint32(16))
+        r = r.astype(np.uint16)
         for slots, where, told in ((next2, at2, told2), (next1, at1, told1)):
-            state = told >> np.uint32(29)
-            state = np.where((state > 0) & (told & np.uint32(0xFFFF) == got), np.minimum(state + 1, 4), 1).astype(np.uint32)
-            slots[where] = kept | (state << np.uint32(29))
+            state = told >> shift
+            state = np.where((state > 0) & (told & place == r), np.minimum(state + 1, 4), 1).astype(np.uint16)
+            slots[where] = r | (state << shift)
         ids[t, :n] = got
         before[:n], prev[:n] = prev[:n], got
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes

@@ -1,6 +1,6 @@
 """Token files: the ids of all documents in ascending doc_id order, in segments of coded blocks with a document index.
 
-Documents are dealt by ranges of doc_id. Each range writes segments of whole documents; a segment has its coded blocks and, for
+Documents are dealt by ranges of doc_id, as many as their bytes need. Each range writes segments of whole documents; a segment has its coded blocks and, for
 each document, its id and number of ids. Segments are written to a table in the shared folder (part, start, index, blocks),
 sorted within each part, and read back from it; `part` orders the ranges, `start` is the number of ids before it in the part.
 """
@@ -20,12 +20,21 @@ from .idcodec import BLOCK, decode, encode
 from .tokens import slices_by_size, tokenizer, with_end
 
 #: Ids after which a segment ends, at a document's end; a longer document is one segment.
-SEGMENT = 8 << 20
-#: Blocks coded side by side at most.
+SEGMENT = 12 << 20
+#: Blocks coded side by side at most. A step costs much the same for few of them, so they are dealt evenly.
 LANES = 1024
+#: Bytes of text for which one range of doc_ids is set aside: most often 6 to 8 million ids, so that nearly all lanes are used.
+RANGE_BYTES = 24 << 20
 SCHEMA = "part long, start long, index binary, blocks array<binary>"
 
 
+def lane_slices(n: int) -> list[slice]:
+    """As few slices of n blocks as LANES allows, of equal sizes but for one block."""
+    runs = -(-n // LANES)
+    cuts = [n * k // runs for k in range(runs + 1)] if runs else []
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """The table of segments. Null texts are the end id alone; null doc_ids come first."""
 
@@ -41,12 +50,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
             ids = np.concatenate(held)
             blocks = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
             index = np.stack([np.concatenate(names), np.concatenate(counts)]).astype("<i8").tobytes()
-            coded = [c for k in range(0, len(blocks), LANES) for c in encode(blocks[k : k + LANES])]
+            coded = [c for at in lane_slices(len(blocks)) for c in encode(blocks[at])]
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([start]), pa.array([index]), pa.array([coded], pa.list_(pa.binary()))], names=["part", "start", "index", "blocks"])
 
         for batch in batches:
             own, texts = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for at in slices_by_size(texts, SEGMENT // 2):
+            for at in slices_by_size(texts):
                 ids, many = with_end(*cut(texts[at]), end_id)
                 if held and sum(map(len, held)) + len(ids) > SEGMENT:
                     yield segment()
@@ -59,7 +68,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return settle(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA), "token-files")
+    parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // RANGE_BYTES))
+    return settle(rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -70,7 +80,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 names, counts = np.frombuffer(batch.column("index")[k].as_py(), "<i8").reshape(2, -1)
                 coded = batch.column("blocks")[k].as_py()
-                ids = np.concatenate([x for j in range(0, len(coded), LANES) for x in decode(coded[j : j + LANES])])
+                ids = np.concatenate([x for at in lane_slices(len(coded)) for x in decode(coded[at])])
                 raw, ends = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), np.cumsum(counts)
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 part, start = batch.column("part")[k].as_py(), batch.column("start")[k].as_py()

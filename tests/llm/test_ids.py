@@ -119,3 +119,11 @@ def test_sum_of_squares_fills_bins(lengths):
     assert all(v <= 40 for v in used.values())
     if lengths:
         assert len(used) <= 2 * -(-sum(lengths) // 40)
+
+
+def test_blocks_are_dealt_evenly():
+    from marlstone.llm.token_files import LANES, lane_slices
+
+    for n in (0, 1, LANES, LANES + 1, 3 * LANES - 5):
+        got = [s.stop - s.start for s in lane_slices(n)]
+        assert sum(got) == n and len(got) == -(-n // LANES) and (not got or max(got) - min(got) <= 1 and max(got) <= LANES)
