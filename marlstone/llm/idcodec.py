@@ -8,7 +8,8 @@ by a weight that follows whichever predicted better. A known id is then coded by
 all ids of the block so far; a new id by adaptive frequencies of its high byte, which start from a fixed slope (low ids are the
 common ones), and 8 plain bits. A carry-propagating range coder (48-bit low, 16-bit words) does the arithmetic coding. Blocks are
 coded side by side, one lane each, so that a step is a few array operations over all lanes; everything is integer arithmetic, so
-any machine decodes alike.
+any machine decodes alike. Within Spark, IdCodec.java does the same id by id in the JVM, with the same bytes; this is the reader
+and writer for plain Python.
 
 A coded block: magic "MIDC", uint32 number of ids, uint32 crc32 of the ids (little-endian uint32), uint32 number of words, then
 the words (little-endian uint16).

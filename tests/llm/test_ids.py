@@ -6,11 +6,14 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.types import ArrayType, BinaryType
 from tokenizers import Tokenizer
 
+from marlstone.llm import token_files
 from marlstone.llm.idcodec import BLOCK, _earlier, _Seen, decode, encode
+from marlstone.llm.jvm import register
 from marlstone.llm.packing import pack, sum_of_squares
-from marlstone.llm.token_files import token_file_index, write_token_files
+from marlstone.llm.token_files import read_token_files, segment_ids, token_file_index, write_token_files
 
 from .fixtures import by_id, documents, texts
 
@@ -87,6 +90,72 @@ def test_token_files(spark):
     assert all(r.b[:4] == b"MIDC" for r in blocks)
 
 
+def segments(spark, blocks_of):
+    rows = [(k, bytearray(np.concatenate(b).astype("<u2").tobytes())) for k, b in enumerate(blocks_of)]
+    function = register(spark, "IdCodec.java", "marlstone.IdCodec$Blocks", "marlstone_blocks", ArrayType(BinaryType()))
+    got = spark.createDataFrame(rows, "k long, ids binary").repartition(3).selectExpr("k", f"{function}(ids) blocks").collect()
+    return [[bytes(b) for b in r.blocks] for r in sorted(got)]
+
+
+def test_jvm_codes_the_same_bytes(spark):
+    rng = np.random.default_rng(11)
+    kinds = [
+        lambda n: rng.integers(0, 65536, n),
+        lambda n: rng.zipf(1.2, n) % 49408,
+        lambda n: np.arange(n) * 7919 % 97 * (np.arange(n) % 5) + np.arange(n) // 300 * 11,
+        lambda n: (rng.random(n) < 0.01) * rng.integers(0, 65536, n),
+        lambda n: np.tile(rng.integers(0, 65536, 50), n // 50 + 1)[:n],
+        lambda n: rng.permutation(65536)[:n],
+    ]
+    ids = [kind(n).astype(np.uint32) for n in (1, 2, 700, BLOCK - 1, BLOCK, BLOCK + 1, 3 * BLOCK + 5) for kind in kinds]
+    blocks = [[x[k : k + BLOCK] for k in range(0, len(x), BLOCK)] for x in ids]
+    coded = segments(spark, blocks)
+    assert coded == [encode(b) for b in blocks]
+    assert all(np.array_equal(segment_ids(c), x) for c, x in zip(coded, ids, strict=True))
+
+
+def test_jvm_reads_segments_and_finds_damage(spark):
+    ids = (np.random.default_rng(2).zipf(1.3, 3 * BLOCK + 9) % 49408).astype(np.uint32)
+    coded = encode([ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)])
+    counts = [1, 5, 2 * BLOCK, 0, len(ids) - 2 * BLOCK - 6]  # a document over several blocks, and one of no ids
+    index = np.array([[np.iinfo(np.int64).min, -3, 7, 7, 1 << 40], counts], "<i8").tobytes()
+
+    def read(index, blocks):
+        files = spark.createDataFrame([(4, 100, bytearray(index), [bytearray(b) for b in blocks])], "part long, start long, index binary, blocks array<binary>")
+        return [tuple(r) for r in read_token_files(files).collect()]
+
+    ends = np.cumsum(counts)
+    want = [(d, 4, 100 + int(e - n), n, crc(ids[e - n : e].tolist())) for d, n, e in zip([None, -3, 7, 7, 1 << 40], counts, ends, strict=True)]
+    assert read(index, coded) == want
+    at = len(coded[1]) // 2
+    flipped = coded[1][:at] + bytes([coded[1][at] ^ 1]) + coded[1][at + 1 :]
+    for blocks in ([coded[0], flipped, *coded[2:]], [coded[0][:-2], *coded[1:]], [b"", *coded[1:]], coded[:-1], [*coded, coded[0]]):
+        with pytest.raises(Exception, match="not a coded block|checksum does not hold|blocks end before|documents end before"):
+            read(index, blocks)
+
+
+def test_segments_end_at_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT", 3000)
+    monkeypatch.setattr(token_files, "DOCUMENTS", 40)
+    monkeypatch.setattr(token_files, "slices_by_size", lambda t: [slice(k, k + 1) for k in range(len(t))])
+    many = [(k, "a b c" if k < 100 else "word " * 5000 if k == 100 else None if k % 2 else "x" * k) for k in range(150)]
+    rows = write_token_files(documents(spark, many), PATH).orderBy("part", "start").collect()
+    t = Tokenizer.from_file(PATH)
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x in many]
+    assert np.concatenate([segment_ids([bytes(b) for b in r.blocks]) for r in rows]).tolist() == sum(want, [])
+    index = [np.frombuffer(r["index"], "<i8").reshape(2, -1) for r in rows]
+    assert max(i.shape[1] for i in index) <= 40 and all(i[1].sum() <= 3000 or i.shape[1] == 1 for i in index)
+    got = by_id(token_file_index(documents(spark, many), PATH))
+    assert [got[k].ids_crc32 for k in range(150)] == [crc(x) for x in want]
+
+
+def test_blocks_are_coded_in_the_jvm(spark):
+    """CPU budget: a step over lanes in numpy took over a microsecond for each id, there and back; Python only cuts texts into ids now."""
+    files = write_token_files(documents(spark), PATH)
+    plan = read_token_files(files)._jdf.queryExecution().executedPlan().toString()
+    assert "marlstone_documents" in plan and "MapInArrow" not in plan
+
+
 def test_packing(spark):
     got = pack(documents(spark), PATH).collect()
     want = {}
