@@ -18,6 +18,11 @@ CACHE = 500_000
 JOINED = 500
 #: Runs of which the pre-tokens can be counted: ASCII without apostrophes.
 _COUNTED = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Lower-cased runs of printable ASCII without apostrophes and Latin-1 letters, which no normalizer changes further, and their pre-tokens.
+_PLAIN = re.compile("[!-&(-@[-~ß-öø-ÿ]+")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Plain pre-tokens, on which the model alone is tried against the whole tokenizer.
+_TRIED = "a the word of qzx abcdefghijklmnopqrstuvwxyz internationally straße àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ 0 1 2 3 4 5 6 7 8 9 . ,.!? *** !\"#$%&()*+ -/:;<=>?@ [\\]^_`{|}~"
 _SPACE = bytes(32 if c in b"\t\n\r" else c for c in range(256))
 
 
@@ -31,8 +36,14 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model without normalizer and search for pre-tokens, for text cut into plain ones.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        if self.bare.encode(_TRIED).ids != self.tokenizer.encode(_TRIED, add_special_tokens=False).ids:
+            self.bare = self.tokenizer
         self.end = self.tokenizer.token_to_id("<|endoftext|>")
         #: Which ids end a pre-token.
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
@@ -65,23 +76,32 @@ class WordTokenizer:
         self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
         self.flat = np.concatenate([self.flat, flat])
 
-    def _encoded(self, words: list[bytes], between: bytes) -> list[np.ndarray]:
+    def _encoded(self, words: list[bytes], between: bytes, bare: bool = False) -> list[np.ndarray]:
         joined = [between.join(words[k : k + JOINED]).decode() for k in range(0, len(words), JOINED)]
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in (self.bare if bare else self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
         """Encode runs many at a time: those whose pre-tokens can be counted with spaces between them, others with an end token."""
+        plain: list[bytes] = []
+        cut: list[bytes] = []
+        parts: list[int] = []
         easy: list[bytes] = []
         pieces: list[int] = []
         hard: list[bytes] = []
         for w in words:
-            if w.isascii():
+            text = w.decode().lower()
+            if _PLAIN.fullmatch(text):
+                plain.append(w)
+                own = [text] if text.isalpha() else _PIECES.findall(text)
+                cut.append(" ".join(own).encode())
+                parts.append(len(own))
+            elif w.isascii():
                 if b"'" in w:
                     hard.append(w)
                 else:
                     easy.append(w)
                     pieces.append(1 if w.isalpha() else len(_COUNTED.findall(w)))
-            elif w.decode().lower().isalpha():
+            elif text.isalpha():
                 easy.append(w)
                 pieces.append(1)
             else:
@@ -90,20 +110,21 @@ class WordTokenizer:
             got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
             self._add(words, np.concatenate(got), np.array([len(g) for g in got], np.int64))
             return
-        sure: list[bytes] = []
-        flat: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        for k, ids in enumerate(self._encoded(easy, b" ")):
-            own = easy[k * JOINED : (k + 1) * JOINED]
-            last, want = np.flatnonzero(self.closes[ids]), np.cumsum(pieces[k * JOINED : (k + 1) * JOINED])
-            if len(last) != want[-1]:
-                hard += own  # not as counted
-                continue
-            sure += own
-            flat.append(ids)
-            sizes.append(np.diff(last[want - 1], prepend=-1))
-        if sure:
-            self._add(sure, np.concatenate(flat), np.concatenate(sizes))
+        for own, as_cut, many, bare in ((plain, cut, parts, True), (easy, easy, pieces, False)):
+            sure: list[bytes] = []
+            flat: list[np.ndarray] = []
+            sizes: list[np.ndarray] = []
+            for k, ids in enumerate(self._encoded(as_cut, b" ", bare)):
+                at = slice(k * JOINED, (k + 1) * JOINED)
+                last, want = np.flatnonzero(self.closes[ids]), np.cumsum(many[at])
+                if len(last) != want[-1]:
+                    hard += own[at]  # not as counted
+                    continue
+                sure += own[at]
+                flat.append(ids)
+                sizes.append(np.diff(last[want - 1], prepend=-1))
+            if sure:
+                self._add(sure, np.concatenate(flat), np.concatenate(sizes))
         if hard:
             every = np.concatenate([np.append(e, np.uint32(self.end)) for e in self._encoded(hard, b"<|endoftext|>")])
             between = every == self.end
