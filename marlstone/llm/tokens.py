@@ -16,8 +16,6 @@ from .common import encoded
 CACHE = 500_000
 #: Runs encoded as one text, the end-of-text token between them.
 JOINED = 500
-#: Runs of which the pre-tokens can be counted: ASCII without apostrophes.
-_COUNTED = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: Lower-cased runs of printable ASCII without apostrophes and Latin-1 letters, which no normalizer changes further, and their pre-tokens.
 _PLAIN = re.compile("[!-&(-@[-~ß-öø-ÿ]+")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -81,12 +79,14 @@ class WordTokenizer:
         return [np.array(e.ids, np.uint32) for e in (self.bare if bare else self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode runs many at a time: those whose pre-tokens can be counted with spaces between them, others with an end token."""
+        """Encode runs many at a time: those whose pre-tokens are known or that have one at least, with spaces between them, others with an end token.
+
+        Control characters may be white space to the tokenizer, so that a run of them has no pre-token and another two.
+        """
         plain: list[bytes] = []
         cut: list[bytes] = []
         parts: list[int] = []
         easy: list[bytes] = []
-        pieces: list[int] = []
         hard: list[bytes] = []
         for w in words:
             text = w.decode().lower()
@@ -95,22 +95,15 @@ class WordTokenizer:
                 own = [text] if text.isalpha() else _PIECES.findall(text)
                 cut.append(" ".join(own).encode())
                 parts.append(len(own))
-            elif w.isascii():
-                if b"'" in w:
-                    hard.append(w)
-                else:
-                    easy.append(w)
-                    pieces.append(1 if w.isalpha() else len(_COUNTED.findall(w)))
             elif text.isalpha():
                 easy.append(w)
-                pieces.append(1)
             else:
                 hard.append(w)
         if self.end is None:
             got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
             self._add(words, np.concatenate(got), np.array([len(g) for g in got], np.int64))
             return
-        for own, as_cut, many, bare in ((plain, cut, parts, True), (easy, easy, pieces, False)):
+        for own, as_cut, many, bare in ((plain, cut, parts, True), (easy, easy, [1] * len(easy), False)):
             sure: list[bytes] = []
             flat: list[np.ndarray] = []
             sizes: list[np.ndarray] = []

@@ -14,7 +14,7 @@ from marlstone.llm.idcodec import BLOCK, _earlier, _Seen, decode, encode
 from marlstone.llm.jvm import register
 from marlstone.llm.packing import pack, sum_of_squares
 from marlstone.llm.token_files import read_token_files, segment_ids, token_file_index, write_token_files
-from marlstone.llm.tokens import tokenizer
+from marlstone.llm.tokens import WordTokenizer, tokenizer
 
 from .fixtures import by_id, documents, texts
 
@@ -101,6 +101,12 @@ def test_runs_have_the_ids_of_whole_texts(some):
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
 
 
+def test_runs_of_control_characters_shift_nothing():
+    text = "\x0b _- |\x0b> _-"
+    ids, counts = WordTokenizer(PATH)([text])  # one run without pre-tokens, another with one more than counted
+    assert ids.tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
 def segments(spark, blocks_of):
     rows = [(k, bytearray(np.concatenate(b).astype("<u2").tobytes())) for k, b in enumerate(blocks_of)]
     function = register(spark, "IdCodec.java", "marlstone.IdCodec$Blocks", "marlstone_blocks", ArrayType(BinaryType()))
